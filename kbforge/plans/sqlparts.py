@@ -139,3 +139,98 @@ def shingles(toks: str, n: int = 8) -> str:
         f"list_distinct(list_transform(range(1, len({toks}) - {n - 1} + 1), "
         f"lambda i: array_to_string(list_slice({toks}, i, i + {n - 1}), ' ')))"
     )
+
+
+# ---- ingestion (P1-P7, P13) --------------------------------------------------
+
+NL = "chr(10)"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def decode_entities(c: str) -> str:
+    out = c
+    for ent, ch in ENTITIES:
+        out = f"replace({out}, '{ent}', '{ch}')"
+    return out
+
+
+def drop_blocks(h: str) -> str:
+    out = rf"regexp_replace({h}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "nav", "footer", "header"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    return out
+
+
+def region(h: str) -> str:
+    whens = " ".join(
+        rf"WHEN regexp_matches({h}, '(?i)<{t}\b') THEN regexp_extract({h}, '(?is)<{t}\b[^>]*>(.*?)(?:</{t}\s*>|$)', 1)"
+        for t in ("main", "article", "body")
+    )
+    return f"(CASE {whens} ELSE {h} END)"
+
+
+def text_lines(frag: str, sep: str) -> str:
+    pieces = f"string_split({decode_entities(f'regexp_replace({frag}, {chr(39)}<[^>]*>{chr(39)}, {NL}, {chr(39)}g{chr(39)})')}, {NL})"
+    stripped = rf"list_transform({pieces}, lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g'))"
+    return f"array_to_string(list_filter({stripped}, lambda p: p <> ''), {sep})"
+
+
+def main_text(h: str) -> str:
+    return text_lines(region(drop_blocks(h)), NL)
+
+
+def first_element_text(h: str, tag: str) -> str:
+    pat = rf"'(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>'"
+    return f"(CASE WHEN regexp_matches({h}, {pat}) THEN {text_lines(f'regexp_extract({h}, {pat}, 1)', chr(39) * 2)} END)"
+
+
+def page_title(h: str) -> str:
+    unwanted = " OR ".join(f"contains(lower(t), '{u}')" for u in ("cookies", "analytics", "citizensinformation.ie", "home"))
+    cands = f"[{first_element_text(h, 'title')}, {first_element_text(h, 'h1')}]"
+    good = f"list_filter({cands}, lambda t: t IS NOT NULL AND length(t) > 0 AND (NOT ({unwanted}) OR length(t) > 20))"
+    non_empty = rf"list_filter({cands}, lambda t: t IS NOT NULL AND length(regexp_replace(t, '^\s+|\s+$', '', 'g')) > 0)"
+    return f"coalesce(({good})[1], ({non_empty})[1], 'No title')"
+
+
+def meta_description(h: str) -> str:
+    tag = rf"""regexp_extract({h}, '(?is)(<meta\b[^>]*\bname\s*=\s*["'']description["''][^>]*>)', 1)"""
+    content = rf"""regexp_extract({tag}, '(?is)\bcontent\s*=\s*["'']([^"'']*)["'']', 1)"""
+    return decode_entities(content)
+
+
+STRUCTURED_RULES_SQL = [
+    (r"(?is)### Cookies used by Google Analytics.*?Close\s*", "''"),
+    (r"(?is)## Cookies on.*?Manage my preferences\s*", "''"),
+    (r"(?i)(accept all cookies|manage cookies|cookie preferences).*?\n", "''"),
+    (r"(?i)(skip to main content|skip navigation).*?\n", "''"),
+    (r"(?is)Allow analytics cookies.*?Close\s*", "''"),
+    (r"(?s)\[Share to Facebook\].*?\[Print This Page\].*?\n", "''"),
+    (r"\[Back to top\].*?\n", "''"),
+    (r"(?m)\n\d+\.\d+\s*$", "''"),
+    (r"(?s)## Manage\s*\nManage preferences\s*$", "''"),
+    (r"\[\s*\n#", "'# '"),
+    (r"\n\s*\n\s*\n", f"{NL} || {NL}"),
+    (r"[ \t]+", "' '"),
+]
+MARKDOWN_RULES_SQL = [
+    (r"(?s)^A notice about cookies.*?Service", "'Service'"),
+    (r"(?s)Manage cookie preferences.*$", "''"),
+    (r"(?s)### Manage cookie preferences.*$", "''"),
+    (r"(?s)Cookie preferences.*?Close\s*$", "''"),
+    (r"\n\s*\n\s*\n", f"{NL} || {NL}"),
+]
+
+
+def _apply_rules(c: str, rules) -> str:
+    out = c
+    for pat, repl in rules:
+        out = f"regexp_replace({out}, '{pat}', {repl}, 'g')"
+    return strip(out)
+
+
+def clean_structured(c: str) -> str:
+    return f"(CASE WHEN coalesce({c}, '') = '' THEN '' ELSE {_apply_rules(c, STRUCTURED_RULES_SQL)} END)"
+
+
+def clean_markdown(c: str) -> str:
+    return _apply_rules(c, MARKDOWN_RULES_SQL)
