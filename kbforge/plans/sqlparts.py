@@ -234,3 +234,29 @@ def clean_structured(c: str) -> str:
 
 def clean_markdown(c: str) -> str:
     return _apply_rules(c, MARKDOWN_RULES_SQL)
+
+
+# ---- graph (G3-G9) ------------------------------------------------------------
+
+
+def graph_ctes(min_chars: int = 6, max_words: int = 5, min_units: int = 2, window: int = 5) -> str:
+    """CTEs ``dd`` (deduplicated units), ``ments``, ``ents``, ``adm``, ``rels``;
+    needs ``units_cte`` first."""
+    return rf""",
+dd AS (SELECT * FROM units WHERE unit_id IN (SELECT min(unit_id) FROM units GROUP BY md5(text))),
+ms0 AS (SELECT unit_id, flatten(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'),
+          lambda s, i: list_transform(
+              regexp_extract_all(regexp_replace(s, '[À-ÖØ-öø-ɏ]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'),
+              lambda n: {{'sent_no': i - 1, 'name': regexp_replace(n, '\s+', ' ', 'g'),
+                         'sentence': regexp_replace(s, '^\s+|\s+$', '', 'g')}}))) AS ms FROM dd),
+ments AS (SELECT unit_id, ord, m.sent_no AS sent_no, m.name AS name, m.sentence AS sentence FROM (
+            SELECT unit_id, generate_subscripts(ms, 1) - 1 AS ord, unnest(ms) AS m FROM ms0)),
+ents AS (SELECT name, count(*) AS frequency, count(DISTINCT unit_id) AS n_units FROM ments
+         WHERE length(name) >= {min_chars} AND len(string_split(name, ' ')) <= {max_words}
+         GROUP BY name HAVING count(DISTINCT unit_id) >= {min_units}),
+adm AS (SELECT * FROM ments WHERE name IN (SELECT name FROM ents)),
+admk AS (SELECT unit_id, name, row_number() OVER (PARTITION BY unit_id ORDER BY ord) AS k FROM adm),
+prs AS (SELECT DISTINCT x.unit_id, least(x.name, y.name) AS src, greatest(x.name, y.name) AS dst
+        FROM admk x JOIN admk y ON x.unit_id = y.unit_id AND y.k BETWEEN x.k + 1 AND x.k + {window}
+        WHERE x.name <> y.name),
+rels AS (SELECT src, dst, count(*) AS weight FROM prs GROUP BY src, dst)"""
