@@ -137,3 +137,249 @@ def attribute_sources(
     if catalog is not None:
         out = out.join(catalog, catalog_key, "left")
     return out
+
+
+# ---- R1 / R2: request validation and routing ---------------------------------
+
+SEARCH_TYPES = ("global", "local", "basic")
+EMPTY_QUERY = "Query cannot be empty"
+BAD_TYPE = "Invalid search type. Must be: global, local, or basic"
+
+
+def validate_requests(requests: DataFrame) -> DataFrame:
+    """``request_id, query, search_type, error``.
+
+    The query is stripped (not lower-cased); a missing type means
+    ``global``; the type is lower-cased but not stripped.  An empty query is
+    reported before an unknown type.  ``error`` is NULL for valid rows.
+    """
+    from kbforge.functions.text import strip_ws
+
+    q = strip_ws(F.coalesce(F.col("query"), F.lit("")))
+    t = F.lower(F.coalesce(F.col("search_type"), F.lit("global")))
+    err = F.when(q == "", F.lit(EMPTY_QUERY)).when(~t.isin(*SEARCH_TYPES), F.lit(BAD_TYPE))
+    return requests.select("request_id", q.alias("query"), t.alias("search_type"), err.alias("error"))
+
+
+def route(valid: DataFrame, searches: dict) -> DataFrame:
+    """R2: run each search on its own requests and union the results.
+
+    ``searches`` maps a type to a function ``DataFrame -> DataFrame`` that
+    takes ``(query_id, query)`` rows and returns ranked evidence with a
+    ``query_id`` column; types without a function fall back to ``basic``
+    (as the UI and the evaluator do).
+    """
+    out = None
+    for typ in SEARCH_TYPES:
+        fn = searches.get(typ) or searches["basic"]
+        part = valid.where((F.col("search_type") == typ) & F.col("error").isNull()).select(
+            F.col("request_id").alias("query_id"), "query"
+        )
+        res = fn(part).withColumn("search_type", F.lit(typ))
+        out = res if out is None else out.unionByName(res, allowMissingColumns=True)
+    return out
+
+
+# ---- R3: global search over community reports --------------------------------
+
+def global_search(
+    queries: DataFrame,
+    reports: DataFrame,
+    level: int = 2,
+    budget: int = 8000,
+    query_id: str = "query_id",
+    query_text: str = "query",
+) -> DataFrame:
+    """Reports at ``level`` or above (``level <= 2``) scored 0-100 by the
+    share of distinct question terms they contain; zero scores dropped;
+    ranked by score then community; packed to ``budget`` tokens.
+
+    The level filter reaches the reports scan (pushdown on the stored
+    table); the scoring is the term equi-join of ``term_matches``.
+    """
+    from kbforge.functions.text import ws_tokens
+
+    r = reports.where(F.col("level") <= level).select(
+        F.concat_ws("#", F.col("level").cast("string"), "community").alias("report_id"),
+        "level",
+        "community",
+        F.concat_ws("\n", "title", "report").alias("text"),
+    )
+    m = term_matches(queries, r, query_id, query_text, "report_id", "text")
+    scored = m.select(
+        "query_id",
+        F.col("item_id").alias("report_id"),
+        rounded(F.lit(100.0) * F.col("matched") / F.col("n_query_terms")).alias("score"),
+    ).where(F.col("score") > 0)
+    cost = r.select("report_id", F.size(ws_tokens("text")).alias("n_tokens"))
+    ev = scored.join(cost, "report_id")
+    return pack_context(ev, budget=budget, order_cols=[F.desc("score"), F.asc("report_id")])
+
+
+# ---- R4: local search over entities, relationships, units, reports -----------
+
+def local_search(
+    queries: DataFrame,
+    entities: DataFrame,
+    rels: DataFrame,
+    mentions_df: DataFrame,
+    units: DataFrame,
+    communities: DataFrame,
+    reports: DataFrame,
+    seeds: int = 10,
+    level: int = 2,
+    budget: int = 8000,
+    query_id: str = "query_id",
+    query_text: str = "query",
+) -> DataFrame:
+    """``query_id, kind, item_id, score, cost, cum_tokens``.
+
+    Seeds: the ``seeds`` entities whose names share the most distinct terms
+    with the question.  Context rows, each scored by its seed's score:
+    the seed entities, their relationships (1 hop), the units that mention
+    them, and the report of each seed's community at the deepest level
+    ``<= level``.  All rows of a question are packed together into
+    ``budget`` tokens (score, then kind, then id).
+    """
+    from kbforge.functions.text import ws_tokens
+
+    ent_text = entities.select("entity_id", F.concat_ws(" ", "name").alias("text"))
+    m = term_matches(queries, ent_text, query_id, query_text, "entity_id", "text")
+    seed = top_k_per_group(
+        m.select("query_id", F.col("item_id").alias("entity_id"), "matched"),
+        ["query_id"],
+        [F.desc("matched"), F.asc("entity_id")],
+        seeds,
+        rank_col="seed_rank",
+    ).withColumn("score", F.col("matched").cast("double"))
+
+    ent_rows = seed.join(entities.select("entity_id", "description"), "entity_id").select(
+        "query_id", F.lit("entity").alias("kind"), F.col("entity_id").alias("item_id"), "score",
+        F.size(ws_tokens(F.concat_ws(" ", "entity_id", "description"))).alias("n_tokens"),
+    )
+    ends = rels.select(F.col("src").alias("entity_id"), "src", "dst", "weight").unionByName(
+        rels.select(F.col("dst").alias("entity_id"), "src", "dst", "weight")
+    )
+    rel_rows = seed.join(ends, "entity_id").groupBy("query_id", "src", "dst").agg(
+        F.max("score").alias("score")
+    ).select(
+        "query_id", F.lit("relationship").alias("kind"), F.concat_ws(" -- ", "src", "dst").alias("item_id"),
+        "score", F.lit(3).alias("n_tokens"),
+    )
+    unit_hits = seed.join(mentions_df.select(F.col("name").alias("entity_id"), "unit_id").distinct(), "entity_id")
+    unit_rows = unit_hits.groupBy("query_id", "unit_id").agg(F.sum("score").alias("score")).join(
+        units.select("unit_id", "n_tokens"), "unit_id"
+    ).select("query_id", F.lit("unit").alias("kind"), F.col("unit_id").alias("item_id"), "score", "n_tokens")
+    deepest = communities.where(F.col("level") <= level).groupBy("entity_id").agg(
+        F.max_by(F.struct("level", "community"), "level").alias("c")
+    ).select("entity_id", F.col("c.level").alias("level"), F.col("c.community").alias("community"))
+    rep = reports.select("level", "community", F.size(ws_tokens("report")).alias("n_tokens"))
+    rep_rows = seed.join(deepest, "entity_id").join(rep, ["level", "community"]).groupBy(
+        "query_id", "level", "community", "n_tokens"
+    ).agg(F.sum("score").alias("score")).select(
+        "query_id", F.lit("report").alias("kind"),
+        F.concat_ws("#", F.col("level").cast("string"), "community").alias("item_id"), "score", "n_tokens",
+    )
+    ev = ent_rows.unionByName(rel_rows).unionByName(unit_rows).unionByName(rep_rows)
+    kind_order = F.when(F.col("kind") == "entity", 0).when(F.col("kind") == "relationship", 1).when(
+        F.col("kind") == "report", 2).otherwise(3)
+    ev = ev.withColumn("kind_order", kind_order)
+    return pack_context(
+        ev, budget=budget, order_cols=[F.desc("score"), F.asc("kind_order"), F.asc("item_id")]
+    ).drop("kind_order")
+
+
+# ---- R5: exact vector top-k --------------------------------------------------
+
+MAX_QUERY_VECTORS = 50_000
+
+
+def vector_topk(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = 10,
+    query_id: str = "query_id",
+    query_vec: str = "vector",
+    item_id: str = "vec_id",
+    item_vec: str = "embedding",
+    exclude_self: bool = False,
+) -> DataFrame:
+    """The ``k`` most cosine-similar vectors per query, exact.
+
+    The query batch is the small side: it is checked against
+    ``MAX_QUERY_VECTORS`` and shipped to every task as one broadcast numpy
+    matrix.  Each task scores its slice of the vector table with one matrix
+    product per Arrow batch and keeps only its own best ``k`` per query, so
+    at most ``k x tasks`` rows per query are shuffled to the final
+    ``row_number() <= k``.  No query x vector rows are ever materialised.
+    Ties break on the smaller item id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = vectors.sparkSession
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("v"))
+    n_q = q.limit(MAX_QUERY_VECTORS + 1).count()
+    if n_q > MAX_QUERY_VECTORS:
+        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors: split the batch")
+    qpdf = q.toPandas()
+    qmat = np.array([np.asarray(v, dtype=np.float64) for v in qpdf["v"]]) if len(qpdf) else np.zeros((0, 1))
+    qn = np.linalg.norm(qmat, axis=1) if len(qpdf) else np.zeros(0)
+    bc = spark.sparkContext.broadcast((qpdf["qid"].tolist(), qmat, qn))
+    qid_type = q.schema["qid"].dataType.simpleString()
+    iid_type = vectors.schema[item_id].dataType.simpleString()
+    schema = f"query_id {qid_type}, {item_id} {iid_type}, score double"
+
+    def score_partition(batches):
+        qids, Q, QN = bc.value
+        best_s = [np.empty(0)] * len(qids)
+        best_i = [np.empty(0, dtype=object)] * len(qids)
+        for pdf in batches:
+            if len(pdf) == 0 or len(qids) == 0:
+                continue
+            X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+            xn = np.linalg.norm(X, axis=1)
+            denom = np.outer(QN, xn)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                S = np.where(denom > 0, (Q @ X.T) / denom, 0.0)
+            ids = pdf["iid"].to_numpy()
+            for j, qid in enumerate(qids):
+                s = S[j]
+                cand_i = ids
+                if exclude_self:
+                    keep = cand_i != qid
+                    s, cand_i = s[keep], cand_i[keep]
+                s = np.concatenate([best_s[j], s])
+                cand_i = np.concatenate([best_i[j], cand_i])
+                if len(s) > k:
+                    order = np.lexsort((cand_i, -s))[:k]
+                    s, cand_i = s[order], cand_i[order]
+                best_s[j], best_i[j] = s, cand_i
+        rows = [(qid, best_i[j][t], float(best_s[j][t])) for j, qid in enumerate(qids) for t in range(len(best_s[j]))]
+        yield pd.DataFrame(rows, columns=["query_id", item_id, "score"])
+
+    vec = vectors.select(F.col(item_id).alias("iid"), F.col(item_vec).cast("array<double>").alias("v"))
+    local = vec.mapInPandas(score_partition, schema)
+    return top_k_per_group(local, ["query_id"], [F.desc("score"), F.asc(item_id)], k).withColumn(
+        "score", rounded("score")
+    )
+
+
+# ---- C3: answer repeated requests once ---------------------------------------
+
+def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(distinct, mapping)``.  ``distinct`` has one row per
+    (normalised query, type) with ``query_id``; ``mapping`` maps every
+    ``request_id`` to its ``query_id``.  Search ``distinct`` once and join
+    the results back through ``mapping``.
+    """
+    norm = F.lower(F.regexp_replace(F.col("query"), r"\s+", " "))
+    keyed = requests.withColumn("query_norm", norm)
+    distinct = keyed.groupBy("query_norm", "search_type").agg(
+        F.min("request_id").alias("query_id"), F.min("query").alias("query")
+    )
+    d = distinct.select(F.col("query_norm").alias("_n"), F.col("search_type").alias("_t"), "query_id")
+    # null-safe on the type: a missing type is a valid (default) type
+    cond = (keyed["query_norm"] == d["_n"]) & keyed["search_type"].eqNullSafe(d["_t"])
+    mapping = keyed.join(d, cond).select("request_id", "query_id")
+    return distinct, mapping

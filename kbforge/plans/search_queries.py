@@ -61,3 +61,185 @@ WHERE cum_tokens <= 8000"""
 @register("context_pack", _CONTEXT_PACK_SQL)
 def q_context_pack(spark, sf_dir):
     return search_evidence(spark, sf_dir, k=10, budget=8000)
+
+
+# ---- requests from the conversation log --------------------------------------
+# User turns are the questions.  The log has no search type, so one is
+# derived from the ids, cycling through valid, mis-cased, padded, missing
+# and unknown values to exercise every validation branch.
+TYPE_CYCLE = ("global", "local", "basic", " local", "LOCAL", None, "drift")
+_TYPE_CYCLE_SQL = "['global', 'local', 'basic', ' local', 'LOCAL', NULL, 'drift']"
+
+
+def requests_of(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    types = F.array(*[F.lit(t) for t in TYPE_CYCLE])
+    return conv.where(F.col("role") == "user").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("request_id"),
+        F.col("text").alias("query"),
+        F.get(types, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(TYPE_CYCLE))).cast("int")).alias("search_type"),
+    )
+
+
+_REQUESTS_SQL = f"""req AS (SELECT conv_id * 100000 + turn AS request_id, text AS query,
+       {_TYPE_CYCLE_SQL}[((conv_id + turn) % 7) + 1] AS search_type FROM conversations WHERE role = 'user')"""
+
+
+@register(
+    "validate_requests",
+    "WITH "
+    + _REQUESTS_SQL
+    + rf""",
+v AS (SELECT request_id, {S.strip("coalesce(query, '')")} AS query, lower(coalesce(search_type, 'global')) AS search_type FROM req)
+SELECT request_id, query, search_type,
+       CASE WHEN query = '' THEN 'Query cannot be empty'
+            WHEN search_type NOT IN ('global', 'local', 'basic') THEN 'Invalid search type. Must be: global, local, or basic'
+       END AS error FROM v""",
+)
+def q_validate_requests(spark, sf_dir):
+    """R1 over the user turns."""
+    from kbforge.operators.retrieval import validate_requests
+
+    return validate_requests(requests_of(spark, sf_dir))
+
+
+def _index(spark, sf_dir):
+    from kbforge.plans.index_build import index_for
+
+    return index_for(spark, sf_dir)
+
+
+def _basic(units):
+    def run(q):
+        return lexical_topk(q, units, k=3).select(
+            "query_id", F.lit("unit").alias("kind"), F.col("unit_id").alias("item_id"), "score"
+        )
+
+    return run
+
+
+def _global(ix):
+    from kbforge.operators.retrieval import global_search
+
+    def run(q):
+        return global_search(q, ix["community_reports"]).select(
+            "query_id", F.lit("report").alias("kind"), F.col("report_id").alias("item_id"), "score"
+        )
+
+    return run
+
+
+def _local(ix):
+    from kbforge.operators.retrieval import local_search
+
+    def run(q):
+        return local_search(
+            q, ix["entities"], ix["relationships"],
+            ix["mentions"].withColumnRenamed("entity_id", "name"), ix["text_units"],
+            ix["communities"], ix["community_reports"],
+        ).select("query_id", "kind", "item_id", "score")
+
+    return run
+
+
+@register("route_requests")
+def q_route_requests(spark, sf_dir):
+    """R2: valid requests routed to global / local / basic search."""
+    from kbforge.operators.retrieval import route, validate_requests
+
+    ix = _index(spark, sf_dir)
+    valid = validate_requests(requests_of(spark, sf_dir))
+    return route(valid, {"global": _global(ix), "local": _local(ix), "basic": _basic(ix["text_units"])})
+
+
+def _benchmark_q(spark, sf_dir):
+    return _benchmark_questions(spark, sf_dir)
+
+
+@register("global_search")
+def q_global_search(spark, sf_dir):
+    """Benchmark questions against community reports (level <= 2)."""
+    from kbforge.operators.retrieval import global_search
+
+    ix = _index(spark, sf_dir)
+    return global_search(_benchmark_q(spark, sf_dir), ix["community_reports"])
+
+
+@register("local_search")
+def q_local_search(spark, sf_dir):
+    """Benchmark questions against entities, relationships, units and reports."""
+    ix = _index(spark, sf_dir)
+    from kbforge.operators.retrieval import local_search
+
+    return local_search(
+        _benchmark_q(spark, sf_dir), ix["entities"], ix["relationships"],
+        ix["mentions"].withColumnRenamed("entity_id", "name"), ix["text_units"],
+        ix["communities"], ix["community_reports"],
+    )
+
+
+@register(
+    "vector_topk",
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
+c AS (SELECT label, list(ax ORDER BY i) AS centroid FROM (SELECT label, i, avg(x) AS ax FROM x GROUP BY ALL) GROUP BY label),
+s AS (SELECT c.label AS query_id, e.vec_id,
+             list_sum(list_transform(range(1, len(e.v) + 1), lambda k: e.v[k] * c.centroid[k]))
+             / (sqrt(list_sum(list_transform(e.v, lambda a: a * a))) * sqrt(list_sum(list_transform(c.centroid, lambda a: a * a)))) AS score
+      FROM c, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 10""",
+)
+def q_vector_topk(spark, sf_dir):
+    """The 10 nearest vectors (cosine) to each label centroid."""
+    from kbforge.operators.retrieval import vector_topk
+
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    per_dim = emb.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("ax"))
+    centroid = per_dim.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "ax"))), lambda s: s["ax"]).alias("vector")
+    )
+    return vector_topk(centroid.withColumnRenamed("label", "query_id"), emb, k=10, item_vec="v")
+
+
+@register(
+    "source_attribution",
+    "WITH"
+    + S.units_cte()
+    + S.lexical_cte(3)
+    + """
+SELECT lex.query_id, lex.unit_id, lex.rank, u.doc_id, d.source, d.lang
+FROM lex JOIN units u USING (unit_id) JOIN documents d ON d.doc_id = u.doc_id""",
+)
+def q_source_attribution(spark, sf_dir):
+    """Each hit attributed to its document's source and language."""
+    units = units_of(spark, sf_dir)
+    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=3).select("query_id", "unit_id", "rank")
+    return attribute_sources(hits, units, table(spark, sf_dir, "documents"), doc_cols=("source", "lang"))
+
+
+@register(
+    "dedupe_requests",
+    "WITH "
+    + _REQUESTS_SQL
+    + ","
+    + S.units_cte()[1:]
+    + f""",
+allreq AS (SELECT request_id, query, search_type FROM req UNION ALL SELECT request_id + 50000, query, search_type FROM req),
+kq AS (SELECT *, lower(regexp_replace(query, '\\s+', ' ', 'g')) AS query_norm FROM allreq),
+dq AS (SELECT query_norm, search_type, min(request_id) AS query_id, min(query) AS query FROM kq GROUP BY query_norm, search_type)"""
+    + S.lexical_cte(3, queries="dq", qid="query_id", qtext="query")
+    + """
+SELECT kq.request_id, lex.query_id, lex.unit_id, lex.rank FROM kq
+JOIN dq ON dq.query_norm = kq.query_norm AND dq.search_type IS NOT DISTINCT FROM kq.search_type
+JOIN lex ON lex.query_id = dq.query_id""",
+)
+def q_dedupe_requests(spark, sf_dir):
+    """Every request answered, each distinct (query, type) searched once."""
+    from kbforge.operators.retrieval import dedupe_requests
+
+    req = requests_of(spark, sf_dir)
+    both = req.unionByName(req.withColumn("request_id", F.col("request_id") + 50000))
+    distinct, mapping = dedupe_requests(both)
+    hits = lexical_topk(distinct.select("query_id", "query"), units_of(spark, sf_dir), k=3)
+    return mapping.join(hits, "query_id").select("request_id", "query_id", "unit_id", "rank")
