@@ -260,3 +260,45 @@ prs AS (SELECT DISTINCT x.unit_id, least(x.name, y.name) AS src, greatest(x.name
         FROM admk x JOIN admk y ON x.unit_id = y.unit_id AND y.k BETWEEN x.k + 1 AND x.k + {window}
         WHERE x.name <> y.name),
 rels AS (SELECT src, dst, count(*) AS weight FROM prs GROUP BY src, dst)"""
+
+
+# ---- answers (A1-A6) ------------------------------------------------------------
+
+WORD = r"\p{L}\p{N}_"
+
+
+def bullets_spacing(c: str, bullet: str) -> str:
+    s = rf"regexp_replace({strip(c)}, '(?m)^[•·\-*]\s+', '{bullet}', 'g')"
+    return rf"regexp_replace({s}, '\n\n+', {NL} || {NL}, 'g')"
+
+
+def bold_web(c: str, terms) -> str:
+    """Unicode-\\b emulation: explicit boundary classes, two passes (a shared
+    separator hides every second adjacent hit from the first pass), one
+    placeholder character per term, placeholders expanded at the end."""
+    out = c
+    for k, term in enumerate(terms, start=1):
+        pat = rf"'(^|[^{WORD}])(?i:{term})([^{WORD}]|$)'"
+        rep = rf"'\1' || chr({k}) || '\2'"
+        out = f"regexp_replace(regexp_replace({out}, {pat}, {rep}, 'g'), {pat}, {rep}, 'g')"
+    for k, term in enumerate(terms, start=1):
+        out = f"replace({out}, chr({k}), '**{term}**')"
+    return out
+
+
+def bold_ui(c: str, terms) -> str:
+    alt = "|".join(terms)
+    pat = rf"'(^|[^{WORD}\x01])({alt})([^{WORD}]|$)'"
+    rep = r"'\1' || chr(1) || '\2' || chr(2) || '\3'"
+    out = f"regexp_replace(regexp_replace({c}, {pat}, {rep}, 'g'), {pat}, {rep}, 'g')"
+    return f"replace(replace({out}, chr(1), '**'), chr(2), '**')"
+
+
+def regroup(parts: str, original: str) -> str:
+    """A4 over a list column ``parts``."""
+    grp = f"list_slice({parts}, i + 1, i + 3)"
+    para = f"CASE WHEN len({grp}) = 3 THEN array_to_string({grp}, '. ') || '.' ELSE array_to_string({grp}, '. ') END"
+    return (
+        f"CASE WHEN len({parts}) > 3 THEN array_to_string(list_transform(range(0, len({parts}), 3), lambda i: {para}), "
+        f"{NL} || {NL}) ELSE {original} END"
+    )
