@@ -243,3 +243,45 @@ def q_dedupe_requests(spark, sf_dir):
     distinct, mapping = dedupe_requests(both)
     hits = lexical_topk(distinct.select("query_id", "query"), units_of(spark, sf_dir), k=3)
     return mapping.join(hits, "query_id").select("request_id", "query_id", "unit_id", "rank")
+
+
+# ---- G2 / R5 over text units ---------------------------------------------------
+
+
+@register(
+    "tfidf_weights",
+    "WITH"
+    + S.units_cte()
+    + """,
+tf AS (SELECT unit_id AS owner_id, term, count(*) AS tf FROM (
+         SELECT unit_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM units) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM units)
+SELECT owner_id, term, tf, df, round(ln((1 + n) / (1 + df)) + 1.0, 6) AS idf, round(tf * (ln((1 + n) / (1 + df)) + 1.0), 6) AS weight
+FROM tf JOIN df USING (term), n""",
+)
+def q_tfidf_weights(spark, sf_dir):
+    """TF-IDF weight of every (unit, term)."""
+    from kbforge.operators.common import rounded
+    from kbforge.operators.vectors import term_weights
+
+    w = term_weights(units_of(spark, sf_dir))
+    return w.select("owner_id", "term", "tf", "df", rounded("idf").alias("idf"), rounded("weight").alias("weight"))
+
+
+@register("vector_search")
+def q_vector_search(spark, sf_dir):
+    """R5 (vector form) over text units: benchmark questions embedded with
+    the corpus IDF, 10 nearest units each by cosine of hashed TF-IDF."""
+    from kbforge.operators.retrieval import vector_topk
+    from kbforge.operators.vectors import embed_with_idf, hashed_vectors, term_weights
+
+    units = units_of(spark, sf_dir)
+    w = term_weights(units)
+    vecs = hashed_vectors(w)
+    idf = w.select("term", "idf").distinct()
+    q = embed_with_idf(_benchmark_questions(spark, sf_dir), idf)
+    return vector_topk(
+        q.withColumnRenamed("owner_id", "query_id"), vecs.withColumnRenamed("owner_id", "unit_id"),
+        k=10, item_id="unit_id", item_vec="vector",
+    )
