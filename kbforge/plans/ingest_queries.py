@@ -133,3 +133,45 @@ def q_failed_pages(spark, sf_dir):
 )
 def q_host_catalog(spark, sf_dir):
     return host_catalog(table(spark, sf_dir, "pages"))
+
+
+# ---- P10-P12 re-aimed as profiles of driver tables -----------------------------
+# (table, key) pairs profiled by the three queries.
+PROFILED = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("part", "p_partkey"))
+_COLS = {
+    "region": (["r_regionkey", "r_name"], ["r_regionkey"]),
+    "nation": (["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey", "n_regionkey"]),
+    "customer": (["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ["c_custkey", "c_nationkey", "c_acctbal"]),
+    "part": (["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], ["p_partkey", "p_size", "p_retailprice"]),
+}
+
+
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register("table_profile", "\nUNION ALL\n".join(S.profile_sql(t, *_COLS[t], k) for t, k in PROFILED))
+def q_table_profile(spark, sf_dir):
+    """P10 re-aimed: summary text of whole driver tables."""
+    from kbforge.operators.profile import table_profile
+
+    return _union([table_profile(table(spark, sf_dir, t).select(*_COLS[t][0]), k, t) for t, k in PROFILED])
+
+
+@register("row_narrative", "\nUNION ALL\n".join(S.narrative_sql(t, _COLS[t][0], k) for t, k in PROFILED))
+def q_row_narrative(spark, sf_dir):
+    """P11 re-aimed: first-10-rows narrative of whole driver tables."""
+    from kbforge.operators.profile import row_narrative
+
+    return _union([row_narrative(table(spark, sf_dir, t).select(*_COLS[t][0]), k, t) for t, k in PROFILED])
+
+
+@register("markdown_table", "\nUNION ALL\n".join(S.markdown_sql(t, _COLS[t][0], k) for t, k in PROFILED))
+def q_markdown_table(spark, sf_dir):
+    """P12 re-aimed: markdown of tables with at most 20 rows, else the size line."""
+    from kbforge.operators.profile import markdown_table
+
+    return _union([markdown_table(table(spark, sf_dir, t).select(*_COLS[t][0]), k, t) for t, k in PROFILED])

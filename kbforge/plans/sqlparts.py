@@ -302,3 +302,51 @@ def regroup(parts: str, original: str) -> str:
         f"CASE WHEN len({parts}) > 3 THEN array_to_string(list_transform(range(0, len({parts}), 3), lambda i: {para}), "
         f"{NL} || {NL}) ELSE {original} END"
     )
+
+
+# ---- table profile (P10-P12 re-aimed) ------------------------------------------
+
+
+def _txt(c: str) -> str:
+    return f"CAST({c} AS VARCHAR)"
+
+
+def profile_sql(table: str, cols, numeric, key: str) -> str:
+    unpivot = " UNION ALL ".join(f"SELECT {i} AS ci, {_txt(c)} AS v, {key} AS k FROM {table}" for i, c in enumerate(cols))
+    names = "[" + ", ".join(f"'{c}'" for c in cols) + "]"
+    sample = ", ".join(f"CASE WHEN trim({_txt(c)}) <> '' THEN '{c}: ' || {_txt(c)} END" for c in cols)
+    num = f"'Numeric data in: {', '.join(numeric)}', " if numeric else ""
+    return f"""(WITH n AS (SELECT count(*) AS n FROM {table}),
+pv AS (SELECT ci, v, min(k) AS first_k FROM ({unpivot}) GROUP BY ci, v),
+nu AS (SELECT ci, count(v) AS nunique FROM pv GROUP BY ci),
+f3 AS (SELECT ci, string_agg(coalesce(v, 'nan'), ', ' ORDER BY r) AS vals FROM (
+         SELECT *, row_number() OVER (PARTITION BY ci ORDER BY v IS NULL, first_k) AS r FROM pv) WHERE r <= 3 GROUP BY ci),
+cl AS (SELECT nu.ci, {names}[nu.ci + 1] || ' categories: ' || vals AS line, nunique FROM nu JOIN f3 USING (ci)),
+ct AS (SELECT string_agg(line, '. ' ORDER BY ci) AS cats FROM cl, n
+       WHERE (CASE WHEN n.n > 1 THEN nunique ELSE 1 END) <= 5 AND n.n > 3),
+ex AS (SELECT array_to_string(list_filter([{sample}], lambda s: s IS NOT NULL)[1:3], ', ') AS ex
+       FROM (SELECT * FROM {table} ORDER BY {key} LIMIT 1))
+SELECT '{table}' AS "table", CASE WHEN n = 0 THEN 'Empty table' ELSE concat_ws('. ',
+  'Table with ' || n || ' rows and {len(cols)} columns. Columns: {', '.join(cols)}', {num}
+  CASE WHEN (SELECT cats FROM ct) <> '' THEN (SELECT cats FROM ct) END,
+  CASE WHEN (SELECT ex FROM ex) <> '' THEN 'Example row - ' || (SELECT ex FROM ex) END) END AS summary FROM n)"""
+
+
+def narrative_sql(table: str, cols, key: str) -> str:
+    cells = ", ".join(f"CASE WHEN trim({_txt(c)}) <> '' THEN '{c} is ' || {_txt(c)} END" for c in cols)
+    rel = f", chr(10) || 'This table shows relationships between: {', '.join(cols)}'" if len(cols) > 1 else ""
+    return f"""(WITH n AS (SELECT count(*) AS n FROM {table}),
+r AS (SELECT row_number() OVER (ORDER BY {key}) AS i, concat_ws(', ', {cells}) AS cells FROM {table} ORDER BY {key} LIMIT 10),
+e AS (SELECT list('Entry ' || i || ': ' || cells ORDER BY i) FILTER (WHERE cells <> '') AS entries FROM r)
+SELECT '{table}' AS "table", CASE WHEN n = 0 THEN 'No data available in this table.' ELSE array_to_string(
+  coalesce(entries, []) || CASE WHEN n > 10 THEN ['... and ' || (n - 10) || ' more entries'] ELSE [] END {'|| [' + rel[2:] + ']' if rel else ''}, '. ') END AS narrative
+FROM n, e)"""
+
+
+def markdown_sql(table: str, cols, key: str) -> str:
+    line = "'| ' || concat_ws(' | ', " + ", ".join(f"coalesce({_txt(c)}, 'nan')" for c in cols) + ") || ' |'"
+    header = "'| " + " | ".join(cols) + " |' || chr(10) || '|" + "|".join("---" for _ in cols) + "|' || chr(10)"
+    return f"""(WITH n AS (SELECT count(*) AS n FROM {table}),
+b AS (SELECT string_agg(line, chr(10) ORDER BY k) AS body FROM (SELECT {key} AS k, {line} AS line FROM {table} ORDER BY {key} LIMIT 21))
+SELECT '{table}' AS "table", CASE WHEN n > 0 AND n <= 20 THEN {header} || body
+       ELSE 'Large table (' || n || ' rows) - see summary above' END AS markdown FROM n, b)"""
