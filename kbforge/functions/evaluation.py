@@ -73,6 +73,15 @@ def factual_accuracy(response, truth) -> Column:
     )
 
 
+def factual_from_sets(r_num, r_kw, r_term, t_num, t_kw, t_term) -> Column:
+    """E4 over precomputed sets (compute each text's sets once, then join)."""
+    return (
+        F.lit(WEIGHT_NUMBERS) * recall(col_of(r_num), col_of(t_num))
+        + F.lit(WEIGHT_KEYWORDS) * recall(col_of(r_kw), col_of(t_kw))
+        + F.lit(WEIGHT_TERMS) * recall(col_of(r_term), col_of(t_term))
+    )
+
+
 def cosine(a, b) -> Column:
     """E5: cosine of two dense vectors (cast to DOUBLE); 0.0 when either norm
     is zero, a length differs or a side is null."""

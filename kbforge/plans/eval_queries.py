@@ -81,10 +81,23 @@ p AS (SELECT d.doc_id, d.text AS response, t.doc_id AS truth_id, t.text AS groun
 SELECT doc_id, truth_id, round({S.factual('response', 'ground_truth')}, 6) AS factual_accuracy FROM p""",
 )
 def q_factual_accuracy(spark, sf_dir):
-    p = _doc_vs_source_first(spark, sf_dir)
-    return p.select(
-        "doc_id", "truth_id", rounded(factual_accuracy("response", "ground_truth")).alias("factual_accuracy")
+    """E4, each document against the first document of its source.  The
+    three sets of every document are extracted once; only the sets are
+    joined, never the texts."""
+    from kbforge.functions.evaluation import factual_from_sets
+
+    docs = table(spark, sf_dir, "documents")
+    sets = docs.select(
+        "doc_id", "source",
+        number_set("text").alias("num"), keyword_set("text").alias("kw"), capital_term_set("text").alias("term"),
+    )
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("truth_id"))
+    truth = sets.select(
+        F.col("doc_id").alias("truth_id"), F.col("num").alias("t_num"), F.col("kw").alias("t_kw"), F.col("term").alias("t_term")
     )
+    p = sets.join(first, "source").join(truth, "truth_id")
+    fa = factual_from_sets("num", "kw", "term", "t_num", "t_kw", "t_term")
+    return p.select("doc_id", "truth_id", rounded(fa).alias("factual_accuracy"))
 
 
 @register(

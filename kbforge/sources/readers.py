@@ -127,7 +127,7 @@ def read_text_corpus(
     columns (``title`` optional).
     """
     if file_type == "text":
-        df = spark.read.option("wholetext", True).text(path)
+        df = spark.read.text(path, wholetext=True)
         return df.select(
             F.col("_metadata.file_name").alias("doc_id"),
             F.col("_metadata.file_name").alias("title"),
