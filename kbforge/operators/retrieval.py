@@ -41,9 +41,13 @@ def term_matches(
     query_text: str = "query",
     item_id: str = "unit_id",
     item_text: str = "text",
+    carry=(),
 ) -> DataFrame:
-    """``(query_id, item_id, matched, n_query_terms)`` for every corpus item
-    sharing at least one distinct term with a question.
+    """``(query_id, item_id, *carry, matched, n_query_terms)`` for every corpus
+    item sharing at least one distinct term with a question.
+
+    ``carry`` names item attributes (functionally dependent on the item id)
+    to keep with the match, so callers need not join back to the corpus.
 
     Plan: the corpus is exploded into its distinct terms inside the scan
     stage and probes a broadcast hash table of question terms, so the corpus
@@ -52,10 +56,10 @@ def term_matches(
     """
     qt = question_terms(queries, query_id, query_text)
     it = corpus.select(
-        F.col(item_id).alias("item_id"), F.explode(term_set(item_text)).alias("term")
+        F.col(item_id).alias("item_id"), *carry, F.explode(term_set(item_text)).alias("term")
     )
     joined = it.join(broadcast_if_small(qt, MAX_BROADCAST_TERMS), "term")
-    return joined.groupBy("query_id", "item_id").agg(
+    return joined.groupBy("query_id", "item_id", *carry).agg(
         F.count(F.lit(1)).alias("matched"), F.max("n_query_terms").alias("n_query_terms")
     )
 
@@ -68,6 +72,7 @@ def lexical_topk(
     query_text: str = "query",
     unit_id: str = "unit_id",
     unit_text: str = "text",
+    carry=(),
 ) -> DataFrame:
     """R6, lexical basic search: top-``k`` units per question by the number of
     distinct question terms they contain; ties by ``unit_id``.
@@ -75,10 +80,11 @@ def lexical_topk(
     Output ``(query_id, unit_id, matched, score, rank)``; ``score`` is the
     matched share of the question's terms (0-1).
     """
-    m = term_matches(queries, units, query_id, query_text, unit_id, unit_text)
+    m = term_matches(queries, units, query_id, query_text, unit_id, unit_text, carry)
     scored = m.select(
         "query_id",
         F.col("item_id").alias("unit_id"),
+        *carry,
         "matched",
         rounded(F.col("matched") / F.col("n_query_terms")).alias("score"),
     )
@@ -131,9 +137,10 @@ def attribute_sources(
     Equi-joins on ``unit_id`` and ``doc_id``; only the key and attribute
     columns of the corpus tables are read, never their text.
     """
-    u = units.select("unit_id", "doc_id")
     d = docs.select("doc_id", *doc_cols)
-    out = hits.join(u, "unit_id").join(d, "doc_id")
+    if units is not None and "doc_id" not in hits.columns:
+        hits = hits.join(units.select("unit_id", "doc_id"), "unit_id")
+    out = hits.join(d, "doc_id")
     if catalog is not None:
         out = out.join(catalog, catalog_key, "left")
     return out

@@ -19,6 +19,7 @@ from kbforge.operators.retrieval import lexical_topk
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
 from kbforge.plans.search_queries import units_of
+from kbforge.session import materialize
 
 RUN_TIMESTAMP = "2024-01-01T00:00:00"
 
@@ -149,6 +150,7 @@ def q_bleu(spark, sf_dir):
         .join(bench.select("item_id", F.col("text").alias("ground_truth")), "item_id")
         .withColumn("result_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("item_id").cast("string")))
     )
+    p = materialize(p)  # read by the length, n-gram and output branches
     b = bleu_scores(p)
     return p.join(b, "result_id").select("doc_id", "item_id", rounded("bleu_score").alias("bleu_score"))
 
@@ -175,7 +177,8 @@ def scored_results(spark, sf_dir, types=("basic",)):
     results = runs.withColumn("result_id", F.concat_ws("/", "id", "search_type")).join(
         best.select(F.col("query_id").alias("result_id"), "response"), "result_id", "left"
     ).withColumn("response", F.coalesce("response", F.lit("")))
-    return score_results(results)
+    # every metric re-reads the results: compute the search once
+    return score_results(materialize(results))
 
 
 _RESULTS_CTES = (

@@ -29,7 +29,7 @@ from kbforge.operators.graph import (
     mentions,
     relationships,
 )
-from kbforge.session import ensure_checkpoint_dir
+from kbforge.session import ensure_checkpoint_dir, materialize
 from kbforge.sources.readers import KNOWLEDGE_SCHEMAS, read_table
 
 INDEX_TABLES = ("text_units", "mentions", "entities", "relationships", "communities", "community_reports")
@@ -53,7 +53,7 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, Da
     units.write.mode("overwrite").parquet(f"{root}/text_units")
     units = spark.read.parquet(f"{root}/text_units")
 
-    ments = mentions(dedupe_units(units))
+    ments = materialize(mentions(dedupe_units(units)))
     ents = entity_stats(ments)
     adm = admitted_mentions(ments, ents)
     adm.groupBy(F.col("name").alias("entity_id"), "unit_id").agg(F.count(F.lit(1)).alias("n")).write.mode(

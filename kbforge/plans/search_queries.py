@@ -37,10 +37,10 @@ def search_evidence(spark, sf_dir, k: int = 10, budget: int = 8000):
     """Flagship: lexical top-k units per benchmark question, packed into an
     8000-token context and attributed to their source."""
     units = units_of(spark, sf_dir)
-    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=k)
-    with_cost = hits.join(units.select("unit_id", "n_tokens"), "unit_id")
-    packed = pack_context(with_cost, budget=budget)
-    return attribute_sources(packed, units, table(spark, sf_dir, "documents"), doc_cols=("source",))
+    # unit attributes ride along with the match: no second pass over the units
+    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=k, carry=("n_tokens", "doc_id"))
+    packed = pack_context(hits, budget=budget)
+    return packed.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
 
 
 _CONTEXT_PACK_SQL = (
@@ -214,8 +214,10 @@ FROM lex JOIN units u USING (unit_id) JOIN documents d ON d.doc_id = u.doc_id"""
 def q_source_attribution(spark, sf_dir):
     """Each hit attributed to its document's source and language."""
     units = units_of(spark, sf_dir)
-    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=3).select("query_id", "unit_id", "rank")
-    return attribute_sources(hits, units, table(spark, sf_dir, "documents"), doc_cols=("source", "lang"))
+    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=3, carry=("doc_id",))
+    return attribute_sources(
+        hits.select("query_id", "unit_id", "rank", "doc_id"), None, table(spark, sf_dir, "documents"), doc_cols=("source", "lang")
+    )
 
 
 @register(
@@ -276,8 +278,10 @@ def q_vector_search(spark, sf_dir):
     from kbforge.operators.retrieval import vector_topk
     from kbforge.operators.vectors import embed_with_idf, hashed_vectors, term_weights
 
+    from kbforge.session import materialize
+
     units = units_of(spark, sf_dir)
-    w = term_weights(units)
+    w = materialize(term_weights(units))  # feeds unit vectors and the IDF table
     vecs = hashed_vectors(w)
     idf = w.select("term", "idf").distinct()
     q = embed_with_idf(_benchmark_questions(spark, sf_dir), idf)

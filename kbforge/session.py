@@ -90,6 +90,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Used for intermediates that several branches of a plan read (Spark would
+    otherwise recompute them per branch).  The data goes to the session's
+    checkpoint folder (shared storage on a cluster), so a lost executor does
+    not force the upstream stages to run again.  Never ``localCheckpoint``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))
