@@ -67,8 +67,15 @@ def dedupe_units(units: DataFrame) -> DataFrame:
     return units.join(keep.select("unit_id"), "unit_id", "left_semi")
 
 
+def sentences(units: DataFrame) -> DataFrame:
+    """``unit_id, sent_no, sentence`` (stripped), in text order."""
+    return units.select("unit_id", F.posexplode(extract_all("text", SENTENCE_PATTERN)).alias("sent_no", "s")).select(
+        "unit_id", "sent_no", strip_ws("s").alias("sentence")
+    )
+
+
 def mentions(units: DataFrame) -> DataFrame:
-    """Capitalised-run mentions: ``unit_id, ord, sent_no, name, sentence``.
+    """Capitalised-run mentions: ``unit_id, ord, sent_no, name``.
 
     Runs are found inside sentences (sentence ends never occur inside a
     run, so this finds the same runs as the whole text); accents are mapped
@@ -80,11 +87,11 @@ def mentions(units: DataFrame) -> DataFrame:
         "_s",
         lambda s, i: F.transform(
             extract_all(map_accents(s), CAPITAL_TERM_PATTERN),
-            lambda n: F.struct(i.alias("sent_no"), F.regexp_replace(n, r"\s+", " ").alias("name"), strip_ws(s).alias("sentence")),
+            lambda n: F.struct(i.alias("sent_no"), F.regexp_replace(n, r"\s+", " ").alias("name")),
         ),
     )
     return sents.select("unit_id", F.posexplode(F.flatten(per_sentence)).alias("ord", "m")).select(
-        "unit_id", "ord", "m.sent_no", "m.name", "m.sentence"
+        "unit_id", "ord", "m.sent_no", "m.name"
     )
 
 
@@ -138,7 +145,7 @@ def relationships(adm: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def descriptions(adm: DataFrame, max_chars: int = DESCRIPTION_CHARS) -> DataFrame:
+def descriptions(adm: DataFrame, units: DataFrame, max_chars: int = DESCRIPTION_CHARS) -> DataFrame:
     """G5 (extractive): ``name, description`` = the entity's distinct
     non-empty sentences in ascending order, joined by a space and cut to
     ``max_chars`` characters.
@@ -147,7 +154,9 @@ def descriptions(adm: DataFrame, max_chars: int = DESCRIPTION_CHARS) -> DataFram
     sentences can reach the cut: a partial top-``max_chars`` per entity runs
     before the gather, whatever the number of mentions.
     """
-    s = adm.select("name", "sentence").where(F.col("sentence") != "").distinct()
+    located = adm.select("name", "unit_id", "sent_no").distinct()
+    s = located.join(sentences(units), ["unit_id", "sent_no"]).select("name", "sentence")
+    s = s.where(F.col("sentence") != "").distinct()
     first = top_k_per_group(s, ["name"], [F.asc("sentence")], max_chars, rank_col="_r")
     gathered = first.groupBy("name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "sentence"))), lambda x: x["sentence"]).alias("_s")

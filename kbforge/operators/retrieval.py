@@ -42,10 +42,14 @@ def term_matches(
     item_id: str = "unit_id",
     item_text: str = "text",
     carry=(),
+    item_terms: str | None = None,
 ) -> DataFrame:
     """``(query_id, item_id, *carry, matched, n_query_terms)`` for every corpus
     item sharing at least one distinct term with a question.
 
+    ``item_terms`` names an already extracted distinct-term array column of
+    the corpus (then ``item_text`` is not read).
+
     ``carry`` names item attributes (functionally dependent on the item id)
     to keep with the match, so callers need not join back to the corpus.
 
@@ -55,9 +59,8 @@ def term_matches(
     map-side partial aggregate, are shuffled.
     """
     qt = question_terms(queries, query_id, query_text)
-    it = corpus.select(
-        F.col(item_id).alias("item_id"), *carry, F.explode(term_set(item_text)).alias("term")
-    )
+    terms = F.col(item_terms) if item_terms else term_set(item_text)
+    it = corpus.select(F.col(item_id).alias("item_id"), *carry, F.explode(terms).alias("term"))
     joined = it.join(broadcast_if_small(qt, MAX_BROADCAST_TERMS), "term")
     return joined.groupBy("query_id", "item_id", *carry).agg(
         F.count(F.lit(1)).alias("matched"), F.max("n_query_terms").alias("n_query_terms")
@@ -103,7 +106,8 @@ def lexical_topk(
     terms_u = materialize(units.select(F.col(unit_id).alias("unit_id"), *carry, term_set(unit_text).alias("terms")))
     ut = terms_u.select("unit_id", F.explode("terms").alias("term"))
     df = ut.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    common = F.broadcast(df.orderBy(F.desc("df"), F.asc("term")).limit(n_common).select("term"))
+    # at most n_common rows: computed once, then broadcast to every use
+    common = F.broadcast(materialize(df.orderBy(F.desc("df"), F.asc("term")).limit(n_common).select("term")))
     qt = question_terms(queries, query_id, query_text)
     q_rare = qt.join(common, "term", "left_anti")
     q_common = qt.join(common, "term", "left_semi").groupBy("query_id").agg(F.collect_set("term").alias("cq"))
@@ -125,7 +129,8 @@ def lexical_topk(
             (F.col("r") + F.size(F.array_intersect(F.coalesce("cq", empty), F.coalesce("cu", empty)))).alias("matched"),
         )
     )
-    top = top_k_per_group(full, ["query_id"], [F.desc("matched"), F.asc("unit_id")], k)
+    # k rows per question: computed once, read by the proof and the answer
+    top = materialize(top_k_per_group(full, ["query_id"], [F.desc("matched"), F.asc("unit_id")], k))
     proof = (
         top.groupBy("query_id")
         .agg(F.count(F.lit(1)).alias("n_top"), F.min("matched").alias("theta"))
@@ -133,15 +138,15 @@ def lexical_topk(
         .where((F.col("n_top") >= k) & (F.col("theta") > F.coalesce("c", F.lit(0))))
         .select("query_id")
     )
-    proof = materialize(proof)
     exact = top.join(proof, "query_id", "left_semi").join(nq, "query_id")
     exact = exact.join(terms_u.select("unit_id", *carry), "unit_id").select(
         "query_id", "unit_id", *carry, "matched",
         rounded(F.col("matched") / F.col("n_query_terms")).alias("score"), "rank",
     )
     rest_q = queries.join(proof.withColumnRenamed("query_id", query_id), query_id, "left_anti")
-    rest = _lexical_full(rest_q, terms_u.withColumn("text", F.array_join("terms", " ")), k, query_id, query_text,
-                         "unit_id", "text", carry)
+    if rest_q.limit(1).count() == 0:
+        return exact
+    rest = _lexical_full(rest_q, terms_u, k, query_id, query_text, "unit_id", None, carry, item_terms="terms")
     return exact.unionByName(rest)
 
 
@@ -152,11 +157,12 @@ def _lexical_full(
     query_id: str,
     query_text: str,
     unit_id: str,
-    unit_text: str,
+    unit_text: str | None,
     carry,
+    item_terms: str | None = None,
 ) -> DataFrame:
     """Lexical top-k by a join on every shared term (no pruning)."""
-    m = term_matches(queries, units, query_id, query_text, unit_id, unit_text, carry)
+    m = term_matches(queries, units, query_id, query_text, unit_id, unit_text, carry, item_terms)
     scored = m.select(
         "query_id",
         F.col("item_id").alias("unit_id"),
@@ -375,6 +381,7 @@ def local_search(
 # ---- R5: exact vector top-k --------------------------------------------------
 
 MAX_QUERY_VECTORS = 50_000
+RANK_DECIMALS = 9
 
 
 def vector_topk(
@@ -395,7 +402,7 @@ def vector_topk(
     product per Arrow batch and keeps only its own best ``k`` per query, so
     at most ``k x tasks`` rows per query are shuffled to the final
     ``row_number() <= k``.  No query x vector rows are ever materialised.
-    Ties break on the smaller item id.
+    Scores are ranked at 9 decimals; ties break on the smaller item id.
     """
     import numpy as np
     import pandas as pd
@@ -425,6 +432,8 @@ def vector_topk(
             denom = np.outer(QN, xn)
             with np.errstate(divide="ignore", invalid="ignore"):
                 S = np.where(denom > 0, (Q @ X.T) / denom, 0.0)
+            # rank on 9 decimals so that vectors equal up to summation order tie
+            S = np.round(S, RANK_DECIMALS)
             ids = pdf["iid"].to_numpy()
             for j, qid in enumerate(qids):
                 s = S[j]

@@ -53,7 +53,8 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, Da
     units.write.mode("overwrite").parquet(f"{root}/text_units")
     units = spark.read.parquet(f"{root}/text_units")
 
-    ments = materialize(mentions(dedupe_units(units)))
+    deduped = dedupe_units(units)
+    ments = materialize(mentions(deduped))
     ents = entity_stats(ments)
     adm = admitted_mentions(ments, ents)
     adm.groupBy(F.col("name").alias("entity_id"), "unit_id").agg(F.count(F.lit(1)).alias("n")).write.mode(
@@ -66,7 +67,7 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, Da
     )
     rels = spark.read.parquet(f"{root}/relationships")
 
-    entity_table(ents, descriptions(adm), rels).write.mode("overwrite").parquet(f"{root}/entities")
+    entity_table(ents, descriptions(adm, deduped), rels).write.mode("overwrite").parquet(f"{root}/entities")
     entities = spark.read.parquet(f"{root}/entities")
 
     hierarchical_communities(entities, rels).write.mode("overwrite").partitionBy("level").parquet(

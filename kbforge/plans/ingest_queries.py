@@ -175,3 +175,13 @@ def q_markdown_table(spark, sf_dir):
     from kbforge.operators.profile import markdown_table
 
     return _union([markdown_table(table(spark, sf_dir, t).select(*_COLS[t][0]), k, t) for t, k in PROFILED])
+
+
+@register("extracted_tables")
+def q_extracted_tables(spark, sf_dir):
+    """P8-P10 + S6 records for every table of every page (the driver pages
+    hold no <table>, so this is empty there; fixtures cover the rules)."""
+    from kbforge.operators.html_tables import table_records
+
+    pages = table(spark, sf_dir, "pages")
+    return table_records(extract_tables(pages), pages)

@@ -187,7 +187,7 @@ s AS (SELECT c.label AS query_id, e.vec_id,
              list_sum(list_transform(range(1, len(e.v) + 1), lambda k: e.v[k] * c.centroid[k]))
              / (sqrt(list_sum(list_transform(e.v, lambda a: a * a))) * sqrt(list_sum(list_transform(c.centroid, lambda a: a * a)))) AS score
       FROM c, e),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rn FROM s)
 SELECT query_id, vec_id, round(score, 6) AS score, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 10""",
 )
 def q_vector_topk(spark, sf_dir):
@@ -271,7 +271,30 @@ def q_tfidf_weights(spark, sf_dir):
     return w.select("owner_id", "term", "tf", "df", rounded("idf").alias("idf"), rounded("weight").alias("weight"))
 
 
-@register("vector_search")
+_VECTOR_SEARCH_SQL = (
+    "WITH"
+    + S.units_cte()
+    + """,
+tf AS (SELECT unit_id AS owner_id, term, count(*) AS tf FROM (
+         SELECT unit_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM units) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM units),
+idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1.0 AS idf FROM df, n),
+qtf AS (SELECT item_id AS owner_id, term, count(*) AS tf FROM (
+          SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
+ub AS (SELECT owner_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(tf * idf) AS w FROM tf JOIN idf USING (term) GROUP BY ALL),
+qb AS (SELECT owner_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, sum(tf * idf) AS w FROM qtf JOIN idf USING (term) GROUP BY ALL),
+un AS (SELECT owner_id, sqrt(sum(w * w)) AS nrm FROM ub GROUP BY owner_id),
+qn AS (SELECT owner_id, sqrt(sum(w * w)) AS nrm FROM qb GROUP BY owner_id),
+dt AS (SELECT q.owner_id AS query_id, u.owner_id AS unit_id, sum(q.w * u.w) AS d FROM qb q JOIN ub u USING (b) GROUP BY ALL),
+sc AS (SELECT query_id, unit_id, d / (qn.nrm * un.nrm) AS score FROM dt
+       JOIN qn ON qn.owner_id = dt.query_id JOIN un ON un.owner_id = dt.unit_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit_id) AS rn FROM sc)
+SELECT query_id, unit_id, round(score, 6) AS score, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 10"""
+)
+
+
+@register("vector_search", _VECTOR_SEARCH_SQL)
 def q_vector_search(spark, sf_dir):
     """R5 (vector form) over text units: benchmark questions embedded with
     the corpus IDF, 10 nearest units each by cosine of hashed TF-IDF."""
@@ -289,3 +312,12 @@ def q_vector_search(spark, sf_dir):
         q.withColumnRenamed("owner_id", "query_id"), vecs.withColumnRenamed("owner_id", "unit_id"),
         k=10, item_id="unit_id", item_vec="vector",
     )
+
+
+@register("knowledge_counts")
+def q_knowledge_counts(spark, sf_dir):
+    """The knowledge tables loaded (explicit schemas) and counted."""
+    from kbforge.sources.readers import table_counts
+
+    ix = _index(spark, sf_dir)
+    return table_counts({n: ix[n] for n in ("entities", "communities", "community_reports", "text_units", "relationships")})
