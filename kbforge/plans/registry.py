@@ -27,7 +27,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Tables whose rows carry long texts: spread over the cores when scanned
+# into too few splits (see ``kbforge.session.spread``).
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from kbforge.session import spread
     from kbforge.sources.readers import read_table
 
-    return read_table(spark, sf_dir, name)
+    df = read_table(spark, sf_dir, name)
+    return spread(df) if name in TEXT_TABLES else df

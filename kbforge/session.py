@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,15 +92,37 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+    """Compute ``df`` once and cut its lineage: write it as parquet into the
+    session's reliable checkpoint folder and read it back.
 
     Used for intermediates that several branches of a plan read (Spark would
-    otherwise recompute them per branch).  The data goes to the session's
-    checkpoint folder (shared storage on a cluster), so a lost executor does
-    not force the upstream stages to run again.  Never ``localCheckpoint``.
+    otherwise recompute them per branch) and for every round of an
+    iteration.  The folder is shared storage on a cluster, so a lost
+    executor never forces upstream stages to run again.  A written table is
+    used instead of ``Dataset.checkpoint``: one job instead of two (an
+    unpersisted RDD checkpoint recomputes its input to write it), columnar
+    and compressed, and later reads prune columns.  Never
+    ``localCheckpoint``.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/kbforge-tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a text-heavy scan at least one partition per core.
+
+    Regex and tokenising work is per row and CPU bound, so a small table
+    read as fewer splits than the cluster has cores would leave cores idle.
+    Only then is it round-robin repartitioned; a large input (many files and
+    row groups) is left exactly as scanned, with no extra shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def env_int(name: str, default: int) -> int:
