@@ -125,3 +125,29 @@ def test_streaming_ingest_latest_wins(spark):
     docs = {r["url"]: r for r in current_documents(spark, f"{d}/out").collect()}
     assert len(docs) == 2
     assert docs["https://x.org/a"]["page_id"] == 3 and "v2" in docs["https://x.org/a"]["text"]
+
+
+def test_write_eval_run_and_vectors(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from kbforge.operators.vectors import embed_with
+    from kbforge.sources.writers import write_eval_run, write_vectors
+
+    d = tempfile.mkdtemp(prefix="kbf-test-")
+    run = spark.createDataFrame([("2024-01-01T00:00:00", 3, "global")], "timestamp string, total_cases int, search_types string")
+    det = spark.createDataFrame([("2024-01-01T00:00:00", "c1", 0.5)], "timestamp string, id string, factual_accuracy double")
+    write_eval_run(run, det, f"{d}/eval")
+    assert spark.read.json(f"{d}/eval/runs").count() == 1
+    assert spark.read.json(f"{d}/eval/details").collect()[0]["id"] == "c1"
+
+    @pandas_udf("array<double>")
+    def length_embed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [float(len(t)), 1.0])
+
+    texts = spark.createDataFrame([("u1", "abc"), ("u2", "hello")], "unit_id string, text string")
+    vecs = embed_with(texts, length_embed)
+    write_vectors(vecs, f"{d}/vec")
+    write_vectors(vecs.limit(1), f"{d}/vec")  # full overwrite
+    back = spark.read.parquet(f"{d}/vec").collect()
+    assert len(back) == 1 and back[0]["kind"] == "text_unit"
