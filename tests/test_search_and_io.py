@@ -151,3 +151,16 @@ def test_write_eval_run_and_vectors(spark):
     write_vectors(vecs.limit(1), f"{d}/vec")  # full overwrite
     back = spark.read.parquet(f"{d}/vec").collect()
     assert len(back) == 1 and back[0]["kind"] == "text_unit"
+
+
+def test_pruned_lexical_equals_full(spark):
+    rng = random.Random(11)
+    common = ["the", "a", "of", "and", "to"]
+    rare = [f"w{i}" for i in range(300)]
+    def text(n):
+        return " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n))
+    units = spark.createDataFrame([(f"u{i:03d}", text(rng.randint(5, 40))) for i in range(200)], "unit_id string, text string")
+    qs = spark.createDataFrame([(j, text(rng.randint(1, 12))) for j in range(60)], "query_id long, query string")
+    full = lexical_topk(qs, units, k=3, n_common=0).orderBy("query_id", "rank").collect()
+    pruned = lexical_topk(qs, units, k=3, n_common=5, prune_min_terms=1).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in full] == [tuple(r) for r in pruned]
