@@ -260,18 +260,28 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", q.alias("query"), t.alias("search_type"), err.alias("error"))
 
 
-def route(valid: DataFrame, searches: dict) -> DataFrame:
+def route(valid: DataFrame, searches: dict, unknown: str = "reject") -> DataFrame:
     """R2: run each search on its own requests and union the results.
 
     ``searches`` maps a type to a function ``DataFrame -> DataFrame`` that
     takes ``(query_id, query)`` rows and returns ranked evidence with a
-    ``query_id`` column; types without a function fall back to ``basic``
-    (as the UI and the evaluator do).
+    ``query_id`` column; types without a function use ``basic``.
+    ``unknown="reject"`` (the API) leaves requests with an unknown type
+    out; ``unknown="basic"`` (the UI and the evaluator) sends them to the
+    basic search.  Empty queries are never searched.
     """
+    routed_type = F.col("search_type")
+    if unknown == "basic":
+        routed_type = F.when(F.col("error") == BAD_TYPE, F.lit("basic")).otherwise(routed_type)
+        ok = F.col("error").isNull() | (F.col("error") == BAD_TYPE)
+    elif unknown == "reject":
+        ok = F.col("error").isNull()
+    else:
+        raise ValueError("unknown must be 'reject' or 'basic'")
     out = None
     for typ in SEARCH_TYPES:
         fn = searches.get(typ) or searches["basic"]
-        part = valid.where((F.col("search_type") == typ) & F.col("error").isNull()).select(
+        part = valid.where((routed_type == typ) & ok).select(
             F.col("request_id").alias("query_id"), "query"
         )
         res = fn(part).withColumn("search_type", F.lit(typ))

@@ -164,3 +164,16 @@ def test_pruned_lexical_equals_full(spark):
     full = lexical_topk(qs, units, k=3, n_common=0).orderBy("query_id", "rank").collect()
     pruned = lexical_topk(qs, units, k=3, n_common=5, prune_min_terms=1).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in full] == [tuple(r) for r in pruned]
+
+
+def test_route_unknown_types(spark):
+    from kbforge.operators.retrieval import route, validate_requests
+
+    req = spark.createDataFrame([(1, "q", "global"), (2, "q", "drift"), (3, " ", "basic")], "request_id long, query string, search_type string")
+    valid = validate_requests(req)
+    tag = lambda name: (lambda q: q.select("query_id", F.lit(name).alias("by")))
+    searches = {"global": tag("g"), "local": tag("l"), "basic": tag("b")}
+    strict = {r["query_id"]: r["search_type"] for r in route(valid, searches).collect()}
+    lenient = {r["query_id"]: r["search_type"] for r in route(valid, searches, unknown="basic").collect()}
+    assert strict == {1: "global"}
+    assert lenient == {1: "global", 2: "basic"}
