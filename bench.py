@@ -53,7 +53,7 @@ def main() -> None:
 
     from kbforge.plans import QUERIES
     from kbforge.plans.index_build import build_index, default_root
-    from kbforge.session import build_session
+    from kbforge.session import build_session, spread
     from kbforge.sources.readers import read_table
 
     scratch = tempfile.mkdtemp(prefix="kbforge-bench-")
@@ -71,7 +71,7 @@ def main() -> None:
     for name in names:
         t0 = time.time()
         if name == "index_build":
-            build_index(spark, read_table(spark, sf_dir, "documents"), default_root(spark, sf_dir))
+            build_index(spark, spread(read_table(spark, sf_dir, "documents")), default_root(spark, sf_dir))
         else:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)

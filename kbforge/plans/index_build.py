@@ -30,7 +30,7 @@ from kbforge.operators.graph import (
     relationships,
 )
 from kbforge.operators.vectors import hashed_vectors, term_weights
-from kbforge.session import ensure_checkpoint_dir, materialize
+from kbforge.session import ensure_checkpoint_dir, materialize, spread
 from kbforge.sources.writers import write_vectors
 from kbforge.sources.readers import KNOWLEDGE_SCHEMAS, read_table
 
@@ -106,4 +106,4 @@ def index_for(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> dict[s
     root = default_root(spark, sf_dir)
     if not rebuild and _exists(spark, f"{root}/_built"):
         return load_index(spark, root)
-    return build_index(spark, read_table(spark, sf_dir, "documents"), root)
+    return build_index(spark, spread(read_table(spark, sf_dir, "documents")), root)
