@@ -29,7 +29,7 @@ from kbforge.operators.graph import (
     mentions,
     relationships,
 )
-from kbforge.operators.vectors import hashed_vectors, term_weights
+from kbforge.operators.vectors import unit_vectors
 from kbforge.session import ensure_checkpoint_dir, materialize, spread
 from kbforge.sources.writers import write_vectors
 from kbforge.sources.readers import KNOWLEDGE_SCHEMAS, read_table
@@ -81,11 +81,9 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, Da
     community_reports(comms, entities, rels).write.mode("overwrite").parquet(f"{root}/community_reports")
 
     # G2 + S8: unit vectors (full overwrite, as the vector store config asks)
-    w = materialize(term_weights(units))
-    w.select("term", "idf").distinct().write.mode("overwrite").parquet(f"{root}/idf")
-    write_vectors(
-        hashed_vectors(w).select(F.col("owner_id"), F.lit("text_unit").alias("kind"), "vector"), f"{root}/embeddings"
-    )
+    vecs, idf = unit_vectors(units)
+    idf.write.mode("overwrite").parquet(f"{root}/idf")
+    write_vectors(vecs.select(F.col("owner_id"), F.lit("text_unit").alias("kind"), "vector"), f"{root}/embeddings")
     spark.createDataFrame([("ok",)], "status string").write.mode("overwrite").json(f"{root}/_built")
     return load_index(spark, root)
 

@@ -299,14 +299,9 @@ def q_vector_search(spark, sf_dir):
     """R5 (vector form) over text units: benchmark questions embedded with
     the corpus IDF, 10 nearest units each by cosine of hashed TF-IDF."""
     from kbforge.operators.retrieval import vector_topk
-    from kbforge.operators.vectors import embed_with_idf, hashed_vectors, term_weights
+    from kbforge.operators.vectors import embed_with_idf, unit_vectors
 
-    from kbforge.session import materialize
-
-    units = units_of(spark, sf_dir)
-    w = materialize(term_weights(units))  # feeds unit vectors and the IDF table
-    vecs = hashed_vectors(w)
-    idf = w.select("term", "idf").distinct()
+    vecs, idf = unit_vectors(units_of(spark, sf_dir))
     q = embed_with_idf(_benchmark_questions(spark, sf_dir), idf)
     return vector_topk(
         q.withColumnRenamed("owner_id", "query_id"), vecs.withColumnRenamed("owner_id", "unit_id"),
