@@ -103,3 +103,28 @@ def test_hierarchy_invariants(spark):
     reps = community_reports(hierarchical_communities(ents, rels), ents, rels).collect()
     assert all(len(r["report"]) <= 2000 for r in reps)
     assert {(r["level"], r["community"]) for r in reps} == {(r["level"], r["community"]) for r in com}
+
+
+def test_hierarchy_invariants_on_driver_data(spark):
+    from kbforge.plans import QUERIES
+    from tests.conftest import SMOKE_DIR
+
+    com = QUERIES["communities"](spark, SMOKE_DIR).collect()
+    by_level = {}
+    for r in com:
+        by_level.setdefault(r["level"], []).append(r)
+    assert 0 in by_level
+    entities0 = {r["entity_id"] for r in by_level[0]}
+    for lv, rows in by_level.items():
+        ids = [r["entity_id"] for r in rows]
+        assert len(ids) == len(set(ids)) and set(ids) == entities0  # every level covers every entity once
+        sizes = {}
+        for r in rows:
+            sizes[r["community"]] = sizes.get(r["community"], 0) + 1
+        assert all((sizes[r["community"]] > 10) == r["oversized"] for r in rows)
+        if lv > 0:
+            parents = {r["community"] for r in by_level[lv - 1]}
+            assert all(r["parent"] in parents for r in rows)
+    reps = QUERIES["community_reports"](spark, SMOKE_DIR).collect()
+    assert {(r["level"], r["community"]) for r in reps} == {(r["level"], r["community"]) for r in com}
+    assert all(len(r["report"]) <= 2000 and r["size"] >= 1 for r in reps)
