@@ -30,3 +30,13 @@ def test_entry_runs(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_no_query_plans_a_cross_join(spark):
+    """Every registered query pairs rows through equi-joins only: no
+    Cartesian product or nested-loop join appears in any physical plan."""
+    bad = []
+    for name, fn in QUERIES.items():
+        plan = fn(spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+        bad += [(name, op) for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+    assert bad == []
