@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, quality
+from kbforge.llm import bpe, mixing, pii, quality, sharding
 from kbforge.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,27 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, rank_file, pattern).drop("text")
     return bpe.digests(bpe.decode(coded, rank_file, pattern))
+
+
+#: Training shards that documents are placed on.
+SHARDS = tuple(f"shard-{k:03d}" for k in range(256))
+
+
+@register("op5_shard_placement")
+def op5_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.place(docs, SHARDS).select("doc_id", "slot", "shard")
+
+
+@register("op10_source_mix")
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@register("op1_contextual_pii")
+def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those added by context."""
+    return pii.report(pii.extract(load(spark, sf_dir, "documents").select("doc_id", "text")))
