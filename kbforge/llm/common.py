@@ -57,3 +57,12 @@ def lower_ascii(c: Column) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back."""
     return materialize(df)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/kbforge-tables/" in path:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)

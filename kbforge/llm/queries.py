@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, mixing, pii, quality, sharding
+from kbforge.llm import bpe, mixing, ngram_join, pii, quality, sharding
 from kbforge.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans and those added by context."""
     return pii.report(pii.extract(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@register("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and link component of every document."""
+    joined = ngram_join.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id")
