@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, mixing, ngram_join, pii, quality, sharding
+from kbforge.llm import bpe, mixing, ngram_join, pii, quality, repeats, sharding
 from kbforge.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and link component of every document."""
     joined = ngram_join.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "n_shingles", "component_id")
+
+
+@register("op6_repeated_passages")
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 200-byte strings."""
+    return repeats.report(repeats.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text")))
