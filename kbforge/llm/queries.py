@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, mixing, ngram_join, pii, quality, repeats, sharding
+from kbforge.llm import bpe, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
 from kbforge.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated 200-byte strings."""
     return repeats.report(repeats.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@register("op9_embedding_graph")
+def op9_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_graph.near_duplicates(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
