@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
+from kbforge.llm import bpe, maxent, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
 from kbforge.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return vector_graph.near_duplicates(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op4_maxent_scores")
+def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model log-probability of every document."""
+    return maxent.score(load(spark, sf_dir, "documents").select("doc_id", "text"))
