@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, maxent, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
+from kbforge.llm import bpe, chat, maxent, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
 from kbforge.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,12 @@ def op9_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and model log-probability of every document."""
     return maxent.score(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op7_chat_format")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from the transcripts of all conversations, rendered.
+    The model learns from nine tenths of them; roles are hidden from parsing."""
+    said = chat.styled(load(spark, sf_dir, "conversations"))
+    learned = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 10 != 0, F.lit(True))
+    return chat.parse(said.select("conv_id", "turn", "text"), chat.fit(said.where(learned)))
