@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbforge.llm import bpe, quality
+from kbforge.llm import bpe, mixing, ngram_join, pii, quality
 from kbforge.llm.common import load, prepare
 from kbforge.llm.queries import tokenizer
 from kbforge.session import ensure_checkpoint_dir
@@ -19,6 +19,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (five-word shingles,
+    similarity 0.8)."""
+    prepare(spark)
+    return ngram_join.keep_one(docs, width=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by the mark of its kind."""
+    prepare(spark)
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not, once or twice."""
+    prepare(spark)
+    return mixing.materialise_mix(docs)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the digest of the decoded bytes."""
     prepare(spark)
@@ -26,7 +45,13 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, rank_file, pattern)
 
 
-STAGES = [("quality_rules", quality_rules), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
 
 # Regular expressions with repair, hashing of sets and BPE have no SQL form.
 ORACLE_SQL = None

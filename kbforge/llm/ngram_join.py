@@ -216,7 +216,9 @@ def _open(percent: int, width: int):
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, key, n_shingles, component_id)`` of every row."""
+    """``(doc_id, t, n_shingles, root, component_id)`` of every row: ``t`` is a
+    hash of its text, ``root`` the key of its component (null without words),
+    ``component_id`` the smallest id in it."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
@@ -265,6 +267,28 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     roots = components(links.select(pair(1).alias("u"), pair(2).alias("v")))
     named = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(smallest, "root").select("key", "component_id")
-    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(ids, "key", "left")
-    return out.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = named.join(smallest, "root").select("key", "root", "component_id")
+    out = rows.select("doc_id", "t", "key", F.col("n").alias("n_shingles")).join(ids, "key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "t", "n_shingles", "root", component.alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row of
+    the smallest id (null last; then any of equal rows), and every text without
+    words."""
+    joined = stored(join(df, id_col, text_col, width, percent))
+    member = joined.where("n_shingles > 0").select("root", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "t").alias("who"))
+    best = member.groupBy("root").agg(F.min("who").alias("best"))
+    lost = stored(member.join(best, "root").where(F.col("who") != F.col("best")).select("who").distinct())
+    twice = stored(member.groupBy("who").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("who"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    who = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("t")).alias("who")
+    rows = df.select(row, who).join(broadcast_if_small(lost, BROADCAST_ROWS), "who", "left_anti")
+    if twice.isEmpty():
+        return rows.select("row.*")
+    twice = broadcast_if_small(twice, BROADCAST_ROWS)
+    has_words = F.col(f"row.`{text_col}`").rlike(r"[^\x20\x09-\x0D]")
+    again = rows.where(has_words).join(twice, "who", "left_semi").dropDuplicates(["who"])
+    once = rows.where(~F.coalesce(has_words, F.lit(False))).unionByName(rows.where(has_words).join(twice, "who", "left_anti"))
+    return once.unionByName(again).select("row.*")

@@ -150,5 +150,10 @@ def apply_rules(measured: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 
 def keep_good(df: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The rows of ``df`` that pass every rule, with their own columns."""
-    return apply_rules(measure(df, text_col), thresholds).where("kept").select("row.*")
+    """The rows of ``df`` that pass every rule, with their own columns.
+
+    The test is tied to a row number so that it isn't moved under the
+    projections: pushed down, it would hold each of their arrays many times.
+    """
+    judged = apply_rules(measure(df, text_col), thresholds)
+    return judged.select("row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("good")).where("good").select("row.*")
