@@ -3,14 +3,15 @@
 1. Texts become sets of hashed word shingles; equal sets are one class.
 2. Classes are partitioned into groups of similar ones: equal min-hash, and a
    bounded number of shingles, beyond which a group is split by a hash.
-3. The token-group matrix holds which groups a shingle occurs in.  Two sets
-   that are similar enough share a shingle among the first few of both in any
-   common order, so only those are stored.  Very frequent shingles come last
-   in the order, so that passages many documents share meet no one.
-4. Two groups that share a row of the matrix are brought together.  For each
-   set of the one, the overlap with the other's union of shingles bounds that
-   with any member; only groups that qualify are opened, and overlaps with
-   all their members are then counted exactly.
+3. The token-group matrix holds which groups a shingle occurs in: of each set
+   the first few in one order of all shingles, so many that similar sets share
+   some of them.  Very frequent shingles come last in the order, so that
+   passages many documents share meet no one.
+4. The rows of the matrix that two groups share bound the overlap of any two of
+   their sets; only pairs of groups that can qualify are brought together.
+   There, for each set of the one, the overlap with the other's union of
+   shingles is counted in full; only groups that still qualify are opened, and
+   the overlaps with all their members are counted exactly.
 5. A group pair returns links that join its members' components; the
    components of all links are found by star operations.
 
@@ -67,10 +68,9 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
-def least_overlap(n: int, percent: int, other_is_larger: bool) -> int:
-    """Shared shingles that a set of ``n`` needs with any partner (or with any
-    that is no smaller): overlap * (100 + p) >= p * (n + m), m >= p * n / 100."""
-    return -(-2 * percent * n // (100 + percent)) if other_is_larger else -(-percent * n // 100)
+def least_overlap(n: int, percent: int) -> int:
+    """Shared shingles that a set of ``n`` needs with any partner."""
+    return -(-percent * n // 100)
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -120,21 +120,19 @@ def _ordered_prefix(tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndar
 
 
 def sets(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """``(doc_id, t, key, n, similar, prefix, n_index)`` of ``docs(doc_id, text)``:
-    a hash of the text, the set's key, size, min-hash, first shingles, and how
-    many of these the matrix stores."""
+    """``(doc_id, t, key, n, similar, prefix)`` of ``docs(doc_id, text)``:
+    a hash of the text, the set's key, size, min-hash and first shingles."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            keys, n, similar, prefix, n_index = [], [], [], [], []
+            keys, n, similar, prefix = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 keys.append(dict(zip("ab", set_key(s), strict=True)))
                 n.append(len(s))
                 similar.append(int(_signed(mix(s ^ np.uint64(0x5DEECE66D)).min(keepdims=True))[0]) if len(s) else 0)
-                prefix.append(_signed(_ordered_prefix(s, len(s) - least_overlap(len(s), percent, False) + 1, often)) if len(s) else np.zeros(0, np.int64))
-                n_index.append(len(s) - least_overlap(len(s), percent, True) + 1 if len(s) else 0)
+                prefix.append(_signed(_ordered_prefix(s, len(s) - least_overlap(len(s), percent) + 1, often)) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -143,12 +141,11 @@ def sets(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                     pa.array(n, pa.int64()),
                     pa.array(similar, pa.int64()),
                     pa.array(prefix, pa.list_(pa.int64())),
-                    pa.array(n_index, pa.int32()),
                 ],
-                ["doc_id", "t", "key", "n", "similar", "prefix", "n_index"],
+                ["doc_id", "t", "key", "n", "similar", "prefix"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, t long, key {KEY}, n long, similar long, prefix array<long>, n_index int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, t long, key {KEY}, n long, similar long, prefix array<long>")
 
 
 class _Links:
@@ -227,7 +224,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
         rows.where("n > 0")
         .groupBy("key")
         .agg(
-            *[F.first(c).alias(c) for c in ("n", "similar", "prefix", "n_index")],
+            *[F.first(c).alias(c) for c in ("n", "similar", "prefix")],
             F.min("doc_id").alias("doc_id"),
             F.min(F.struct("doc_id", "t")).alias("one"),
         )
@@ -236,22 +233,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     parts = classes.groupBy("similar").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("parts"))
     part = F.pmod(F.xxhash64("key.a"), F.col("parts"))
     grouped = stored(
-        classes.join(parts, "similar").select("key", "n", "prefix", "n_index", F.xxhash64("similar", part).alias("group"))
+        classes.join(parts, "similar").select("key", "n", "prefix", F.xxhash64("similar", part).alias("group"))
     )
-    matrix = lambda tokens: (
-        grouped.select("group", "n", F.explode(tokens).alias("token")).groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    )
-    stored_side = matrix(F.slice("prefix", F.lit(1), F.col("n_index"))).select("token", F.col("group").alias("g"), F.col("low").alias("l"), F.col("high").alias("h"))
-    # The stored sets are the smaller ones of a pair.
-    fits = (F.col("l") <= F.col("high")) & (F.col("h") * 100 >= F.col("low") * percent) & (F.col("g") != F.col("group"))
-    between = (
-        matrix(F.col("prefix"))
-        .join(stored_side, "token")
-        .where(fits)
-        .select(F.least("g", "group").alias("low"), F.greatest("g", "group").alias("high"))
-        .distinct()
-    )
-    within = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("group").alias("low"), F.col("group").alias("high"))
+    sizes = grouped.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"))
+    matrix = grouped.select("group", F.explode("prefix").alias("token")).repartition("token").distinct()
+    other = matrix.select("token", F.col("group").alias("other"))
+    shared = matrix.join(other, "token").where(F.col("group") < F.col("other")).groupBy("group", "other").agg(F.count(F.lit(1)).alias("shared"))
+    # Of two prefixes, one ends first; its set shares with the other what the
+    # prefixes share, and at most all that follows it.
+    one, two = (sizes.select(F.col("group").alias(g), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}")) for k, g in enumerate(("group", "other")))
+    rest = F.floor((F.greatest("high0", "high1") * percent + 99) / 100) - 1
+    needed_shared = F.ceil((F.col("low0") + F.col("low1")) * percent / (100 + percent)) - rest
+    fits = (F.col("shared") >= needed_shared) & (F.col("low0") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high0") * 100)
+    between = shared.join(one, "group").join(two, "other").where(fits).select(F.col("group").alias("low"), F.col("other").alias("high"))
+    within = sizes.where("members > 1").select(F.col("group").alias("low"), F.col("group").alias("high"))
     pairs = stored(between.unionByName(within))
     ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("group"))
     # Texts are fetched once for the classes that take part in a pair, one row
