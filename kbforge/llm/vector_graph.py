@@ -349,14 +349,17 @@ def recall(df: DataFrame, found: DataFrame, every: int = 100, id_col: str = "vec
         pdf = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k).toPandas()
         if not len(pdf):
             continue
-        sent = spark.sparkContext.broadcast((pdf.vec_id.to_numpy(), _unit(pdf.v)))
+        by_length = {n: (own.vec_id.to_numpy(), _unit(own.v)) for n, own in pdf.groupby(pdf.v.map(len))}
+        sent = spark.sparkContext.broadcast(by_length)
 
         def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, units = sent.value
+            units = sent.value
             for pdf in batches:
-                if len(pdf):
-                    hit = (units @ _unit(pdf.v).T >= threshold) & (ids[:, None] != pdf.vec_id.to_numpy()[None])
-                    yield pd.DataFrame({"vec_id": ids, "n": hit.sum(axis=1)})
+                for length, own in pdf.groupby(pdf.v.map(len)):
+                    if length in units:
+                        ids, asked = units[length]
+                        hit = (asked @ _unit(own.v).T >= threshold) & (ids[:, None] != own.vec_id.to_numpy()[None])
+                        yield pd.DataFrame({"vec_id": ids, "n": hit.sum(axis=1)})
 
         part = rows.mapInPandas(count, "vec_id long, n long")
         true = part if true is None else true.unionByName(part)
