@@ -13,7 +13,9 @@
    shingles is counted in full; only groups that still qualify are opened, and
    the overlaps with all their members are counted exactly.
 5. A group pair returns links that join its members' components; the
-   components of all links are found by star operations.
+   components of all links are found by star operations.  Groups are compared
+   in two steps, first within themselves and by one set each, so that groups of
+   near-copies that are joined by then need not be opened for each other.
 
 No pair is lost: the order is the same for all sets whichever shingles are
 held to be frequent, and groups are compared member by member.
@@ -41,6 +43,8 @@ from kbforge.session import broadcast_if_small
 
 WIDTH = 4
 PERCENT = 85
+#: Salts of the min-hashes that sets of a group have in common.
+MIN_HASHES = (0x5DEECE66D, 0x2545F4914F6CDD1D)
 #: A group holds about so many shingles at most, unless one set has more.
 GROUP_SHINGLES = 150_000
 #: A shingle is frequent if it is more than this share of all (so there are at
@@ -68,6 +72,17 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
+def _similar(s: np.ndarray) -> int:
+    """Equal for sets that are probably similar: a few min-hashes and the size,
+    in steps of a sixth."""
+    if not len(s):
+        return 0
+    x = np.uint64(int(np.log(len(s)) * 6))
+    for salt in MIN_HASHES:
+        x = mix(mix(s ^ np.uint64(salt)).min(keepdims=True) + x)
+    return int(_signed(x)[0])
+
+
 def least_overlap(n: int, percent: int) -> int:
     """Shared shingles that a set of ``n`` needs with any partner."""
     return -(-percent * n // 100)
@@ -131,7 +146,7 @@ def sets(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
             for s in shingle_sets(batch.column(1), width):
                 keys.append(dict(zip("ab", set_key(s), strict=True)))
                 n.append(len(s))
-                similar.append(int(_signed(mix(s ^ np.uint64(0x5DEECE66D)).min(keepdims=True))[0]) if len(s) else 0)
+                similar.append(_similar(s))
                 prefix.append(_signed(_ordered_prefix(s, len(s) - least_overlap(len(s), percent) + 1, often)) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -212,6 +227,24 @@ def _open(percent: int, width: int):
     return run
 
 
+def _links(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(u, v)`` between the sets that meet in a pair of groups
+    (``needed(low, high, group, key)``).
+
+    Texts are fetched once for the classes that take part, one row for each,
+    and their sets are built again from them.
+    """
+    needed = stored(needed)
+    wanted = classes.join(needed.select("key").distinct(), "key").select("key", F.col("one.doc_id").alias("one_id"), F.col("one.t").alias("t"))
+    wanted = broadcast_if_small(stored(wanted), BROADCAST_ROWS)
+    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted, "t").where(F.col("doc_id").eqNullSafe(F.col("one_id")))
+    texts = texts.dropDuplicates(["key"]).select("key", "text")
+    opened = needed.join(texts, "key").select("low", "high", "group", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")
+    links = opened.groupBy("low", "high").applyInPandas(_open(percent, width), "a1 long, b1 long, a2 long, b2 long")
+    end = lambda k: F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b"))
+    return links.select(end(1).alias("u"), end(2).alias("v"))
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, t, n_shingles, root, component_id)`` of every row: ``t`` is a
     hash of its text, ``root`` the key of its component (null without words),
@@ -220,22 +253,19 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     docs = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
     rows = stored(sets(docs, frequent, width, percent))
-    classes = (
-        rows.where("n > 0")
-        .groupBy("key")
-        .agg(
-            *[F.first(c).alias(c) for c in ("n", "similar", "prefix")],
-            F.min("doc_id").alias("doc_id"),
-            F.min(F.struct("doc_id", "t")).alias("one"),
+    # Groups that hold too many shingles are split; there are few, and they are
+    # found before the sets' shingles move.
+    some = rows.where("n > 0")
+    large = some.select("key", "similar", "n").distinct().groupBy("similar").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("parts")).where("parts > 1")
+    large = broadcast_if_small(stored(large), BROADCAST_ROWS)
+    part = F.pmod(F.xxhash64("key.a"), F.coalesce("parts", F.lit(1)))
+    grouped = some.join(large, "similar", "left").withColumn("group", F.xxhash64("similar", part))
+    classes = stored(
+        grouped.groupBy("key").agg(
+            F.max("n").alias("n"), F.max("group").alias("group"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "t")).alias("one")
         )
     )
-    classes = stored(classes)
-    parts = classes.groupBy("similar").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("parts"))
-    part = F.pmod(F.xxhash64("key.a"), F.col("parts"))
-    grouped = stored(
-        classes.join(parts, "similar").select("key", "n", "prefix", F.xxhash64("similar", part).alias("group"))
-    )
-    sizes = grouped.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"))
+    sizes = classes.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"))
     matrix = grouped.select("group", F.explode("prefix").alias("token")).repartition("token").distinct()
     other = matrix.select("token", F.col("group").alias("other"))
     shared = matrix.join(other, "token").where(F.col("group") < F.col("other")).groupBy("group", "other").agg(F.count(F.lit(1)).alias("shared"))
@@ -246,20 +276,26 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     needed_shared = F.ceil((F.col("low0") + F.col("low1")) * percent / (100 + percent)) - rest
     fits = (F.col("shared") >= needed_shared) & (F.col("low0") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high0") * 100)
     between = shared.join(one, "group").join(two, "other").where(fits).select(F.col("group").alias("low"), F.col("other").alias("high"))
-    within = sizes.where("members > 1").select(F.col("group").alias("low"), F.col("group").alias("high"))
-    pairs = stored(between.unionByName(within))
-    ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("group"))
-    # Texts are fetched once for the classes that take part in a pair, one row
-    # for each class, and their sets are built again from them.
-    needed = stored(ends.join(grouped.select("group", "key"), "group").select("low", "high", "group", "key"))
-    wanted = classes.join(needed.select("key").distinct(), "key").select("key", F.col("one.doc_id").alias("one_id"), F.col("one.t").alias("t"))
-    wanted = broadcast_if_small(stored(wanted), BROADCAST_ROWS)
-    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted, "t").where(F.col("doc_id").eqNullSafe(F.col("one_id")))
-    texts = texts.dropDuplicates(["key"]).select("key", "text")
-    opened = needed.join(texts, "key").select("low", "high", "group", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")
-    links = opened.groupBy("low", "high").applyInPandas(_open(percent, width), "a1 long, b1 long, a2 long, b2 long")
-    pair = lambda k: F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b"))
-    roots = components(links.select(pair(1).alias("u"), pair(2).alias("v")))
+    between = stored(between)
+    # First inside the groups, and one set of each group of a pair.
+    first = classes.groupBy("group").agg(F.min("key").alias("key"))
+    ends = F.explode(F.array("low", "high")).alias("group")
+    inside = classes.join(sizes.where("members > 1").select("group"), "group").select(F.col("group").alias("low"), F.col("group").alias("high"), "group", "key")
+    firsts = between.select("low", "high", ends).join(first, "group").select("low", "high", "group", "key")
+    links = stored(_links(docs, classes, inside.unionByName(firsts), width, percent))
+    roots = components(links)
+    # A pair is settled if each group had one set, or all sets of both are in
+    # one component by now; all sets of the others are compared.
+    rooted = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").groupBy("group").agg(
+        F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"), F.count(F.lit(1)).alias("members")
+    )
+    one, two = (rooted.select(F.col("group").alias(g), F.col("least").alias(f"least{k}"), F.col("most").alias(f"most{k}"), F.col("members").alias(f"members{k}")) for k, g in enumerate(("low", "high")))
+    settled = (F.col("members0") + F.col("members1") == 2) | ((F.col("least0") == F.col("most1")) & (F.col("least1") == F.col("most0")))
+    rest = stored(between.join(one, "low").join(two, "high").where(~settled).select("low", "high"))
+    if not rest.isEmpty():
+        needed = rest.select("low", "high", ends).join(classes.select("group", "key"), "group").select("low", "high", "group", "key")
+        more = _links(docs, classes, stored(needed), width, percent)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     named = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(smallest, "root").select("key", "root", "component_id")
