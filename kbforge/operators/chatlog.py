@@ -1,14 +1,11 @@
 """Conversation log operators.
 
-The log is append-only with consecutive turn numbers per conversation, so
-"the turn that follows" is an equi-join on ``(conv_id, turn + 1)``: no
-window has to hold a whole conversation, and a conversation with a third of
-all turns is split by the join like any other key (AQE skew handling).
+The log is append-only per conversation; turn numbers rise but can have gaps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,14 +17,31 @@ def turn_log(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", F.length("text").alias("n_chars")).orderBy("conv_id", "turn")
 
 
+# Turns of a conversation that are looked at in one task.
+TURN_BLOCK = 1024
+
+
 def pair_turns(turns: DataFrame) -> DataFrame:
-    """Each user turn with the assistant turn right after it;
-    ``answered`` is false when none follows (a failed query)."""
-    users = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"))
-    answers = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    """Each user turn with the next logged turn of its conversation, if
+    that is an assistant turn; ``answered`` is false otherwise (a failed
+    query).
+
+    The next turn is found inside blocks of ``TURN_BLOCK`` turn numbers, so a
+    conversation with a third of all turns is spread over many tasks; the last
+    turn of a block looks at the first turn of the conversation's next block,
+    through a table of one row per block.
+    """
+    t = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / TURN_BLOCK).alias("_b"))
+    first = t.groupBy("conv_id", "_b").agg(F.min_by(F.struct("role", "text"), "turn").alias("_first"))
+    w = Window.partitionBy("conv_id").orderBy("_b")
+    after = first.select("conv_id", "_b", F.lead("_first").over(w).alias("_after"))
+    inside = Window.partitionBy("conv_id", "_b").orderBy("turn")
+    users = t.withColumn("_next", F.lead(F.struct("role", "text")).over(inside)).where(F.col("role") == "user")
+    nxt = F.coalesce("_next", "_after")
+    answer = F.when(nxt["role"] == "assistant", nxt["text"])
+    return users.join(after, ["conv_id", "_b"], "left").select(
+        "conv_id", "turn", F.col("text").alias("query"), answer.alias("answer"), answer.isNotNull().alias("answered")
     )
-    return users.join(answers, ["conv_id", "turn"], "left").withColumn("answered", F.col("answer").isNotNull())
 
 
 def usage_counts(turns: DataFrame) -> DataFrame:

@@ -7,11 +7,10 @@ equi-join or aggregate keyed by entity, unit or entity pair:
   unit (narrow, from array functions; no shuffle).
 * ``entities``: per-name statistics with map-side partial aggregation, so an
   entity named in a third of all units is reduced before the shuffle.
-* ``relationships``: two entities are related where their mentions lie
-  within ``window`` mentions of each other in a unit; the weight is the
-  number of distinct units where that happens.  Each mention is paired with
-  at most ``window`` followers through an equi-join on ``(unit_id, ordinal)``,
-  so the pair count is linear in the mentions - never all pairs of a unit.
+* ``relationships``: two entities are related where a unit mentions both;
+  the weight is the number of such units.  Pairs are formed inside the row of
+  a unit.  A unit holds at most as many names as a chunk has tokens (1,200),
+  so the work is linear in the units.
 * ``descriptions``: the first distinct sentences of an entity, cut at 500
   characters; a partial top-k bounds what any entity can gather.
 """
@@ -27,20 +26,16 @@ from kbforge.operators.common import top_k_per_group
 from kbforge.session import broadcast_if_small
 
 # Our parameters for rule-based noun phrases (the config only names the
-# "regex_english" extractor): names of at least 6 characters and at most 5
-# words, kept when found in at least 2 units; relationships within a window
-# of 5 mentions.
-MIN_NAME_CHARS = 6
-MAX_NAME_WORDS = 5
-MIN_UNITS = 2
-PAIR_WINDOW = 5
+# "regex_english" extractor).  The operators keep every name unless a caller
+# asks for less; the registered graph asks for these: names of at least 6
+# characters and at most 5 words, found in at least 2 units.
+NAME_FILTER = {"min_chars": 6, "max_words": 5, "min_units": 2}
 DESCRIPTION_CHARS = 500
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
-# Dictionary entries are matched as word n-grams of up to this many words.
-DICTIONARY_MAX_WORDS = 6
 
-# The seven entity types of the index configuration, and our
-# regex rules for the two of them that have a surface pattern.
+# The seven entity types of the index configuration (a
+# dictionary may use no other), and our regex rules for the two of them that
+# have a surface pattern.
 ENTITY_TYPES = (
     "HOUSING_SCHEME",
     "ELIGIBILITY_CRITERIA",
@@ -57,6 +52,14 @@ TYPE_RULES = (
 )
 
 
+def copies_of(units: DataFrame) -> DataFrame:
+    """``unit_id, first_id``: every unit with the smallest ``unit_id`` of its
+    text, the one that ``dedupe_units`` keeps."""
+    keyed = units.select("unit_id", F.md5("text").alias("_h"))
+    first = keyed.groupBy("_h").agg(F.min("unit_id").alias("first_id"))
+    return keyed.join(first, "_h").select("unit_id", "first_id")
+
+
 def dedupe_units(units: DataFrame) -> DataFrame:
     """Drop exact copies of unit text, keeping the smallest ``unit_id``.
 
@@ -97,9 +100,9 @@ def mentions(units: DataFrame) -> DataFrame:
 
 def entity_stats(
     ments: DataFrame,
-    min_chars: int = MIN_NAME_CHARS,
-    max_words: int = MAX_NAME_WORDS,
-    min_units: int = MIN_UNITS,
+    min_chars: int = 1,
+    max_words: int | None = None,
+    min_units: int = 1,
     stop_words: DataFrame | None = None,
 ) -> DataFrame:
     """Admitted entities ``name, frequency, n_units``.
@@ -107,9 +110,9 @@ def entity_stats(
     ``frequency`` counts mentions.  ``stop_words`` (column ``name``) is an
     optional anti-join.
     """
-    ok = ments.where(
-        (F.length("name") >= min_chars) & (F.size(F.split("name", " ")) <= max_words)
-    )
+    ok = ments.where(F.length("name") >= min_chars)
+    if max_words is not None:
+        ok = ok.where(F.size(F.split("name", " ")) <= max_words)
     if stop_words is not None:
         ok = ok.join(stop_words.select("name"), "name", "left_anti")
     stats = ok.groupBy("name").agg(
@@ -122,27 +125,20 @@ def admitted_mentions(ments: DataFrame, ents: DataFrame) -> DataFrame:
     return ments.join(ents.select("name"), "name", "left_semi")
 
 
-def relationships(adm: DataFrame, window: int = PAIR_WINDOW) -> DataFrame:
-    """``src, dst, weight`` with ``src < dst``.
-
-    Mentions are renumbered among admitted ones per unit (a window over one
-    unit, bounded by the unit size), each is matched with the next
-    ``window`` mentions by an equi-join on ``(unit_id, ord)``, and pairs are
-    counted by distinct unit.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("unit_id").orderBy("ord")
-    m = adm.select("unit_id", "ord", "name").withColumn("k", F.row_number().over(w))
-    left = m.select(
-        "unit_id", F.col("name").alias("a"), F.explode(F.sequence(F.col("k") + 1, F.col("k") + window)).alias("k")
+def relationships(adm: DataFrame) -> DataFrame:
+    """``src, dst, weight`` with ``src < dst``: all pairs of entities that
+    share a unit, and the number of units they share."""
+    units = adm.groupBy("unit_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    units = units.where(F.size("names") > 1)
+    pairs = F.flatten(
+        F.transform(
+            "names",
+            lambda a, i: F.transform(
+                F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("src"), b.alias("dst"))
+            ),
+        )
     )
-    right = m.select("unit_id", "k", F.col("name").alias("b"))
-    pairs = left.join(right, ["unit_id", "k"]).where(F.col("a") != F.col("b"))
-    pairs = pairs.select(
-        "unit_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")
-    ).distinct()
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return units.select(F.explode(pairs).alias("p")).groupBy("p.src", "p.dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def descriptions(adm: DataFrame, units: DataFrame, max_chars: int = DESCRIPTION_CHARS) -> DataFrame:
@@ -211,7 +207,12 @@ def typed_mentions(
     norm = dictionary.select(
         "type", "name", F.array_join(extract_all(F.lower("name"), TERM_PATTERN), " ").alias("g")
     ).where(F.col("g") != "")
-    max_words = DICTIONARY_MAX_WORDS
+    longest = norm.agg(F.max(F.size(F.split("g", " "))), F.max(~F.col("type").isin(*ENTITY_TYPES))).first()
+    if longest[1]:
+        raise ValueError(f"dictionary types must be among {ENTITY_TYPES}")
+    max_words = longest[0] or 0
+    if not max_words:
+        return out
     words = units.select("unit_id", extract_all(F.lower("text"), TERM_PATTERN).alias("_w"))
     grams = []
     for n in range(1, max_words + 1):

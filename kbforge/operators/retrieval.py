@@ -11,11 +11,11 @@ partial top-k before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbforge.functions.text import term_set
-from kbforge.operators.common import rounded, top_k_per_group
+from kbforge.operators.common import rounded, top_k_per_group, within_budget
 from kbforge.session import broadcast_if_small
 
 # Largest number of (question, term) rows we broadcast; beyond it the join
@@ -195,25 +195,13 @@ def pack_context(
     """Keep each question's best evidence while the running token total
     stays within ``budget``.
 
-    Every item costs at least one token, so no more than ``budget`` items can
-    fit: a partial top-``budget`` cut (mapper side) runs first, and the
-    running-sum window then sees at most ``budget`` rows per question however
-    large the candidate set was.  Adds ``cost`` and ``cum_tokens``.
+    Every item costs at least one token.  The cut runs in two stages (see
+    ``within_budget``), so the candidates of one question are never sorted in
+    one task.  Adds ``cost`` and ``cum_tokens``.
     """
     order_cols = order_cols or [F.desc("score"), F.asc("unit_id")]
-    cut = top_k_per_group(evidence, [group_col], order_cols, budget, rank_col="_pos")
     cost = F.greatest(F.col(cost_col).cast("long"), F.lit(1).cast("long"))
-    w = (
-        Window.partitionBy(group_col)
-        .orderBy(F.col("_pos"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        cut.withColumn("cost", cost)
-        .withColumn("cum_tokens", F.sum("cost").over(w))
-        .where(F.col("cum_tokens") <= budget)
-        .drop("_pos")
-    )
+    return within_budget(evidence.withColumn("cost", cost), [group_col], order_cols, F.col("cost"), budget, "cum_tokens")
 
 
 def attribute_sources(
@@ -299,16 +287,18 @@ def global_search(
     query_id: str = "query_id",
     query_text: str = "query",
 ) -> DataFrame:
-    """Reports at ``level`` or above (``level <= 2``) scored 0-100 by the
-    share of distinct question terms they contain; zero scores dropped;
-    ranked by score then community; packed to ``budget`` tokens.
+    """Reports scored 0-100 by the share of distinct question terms they
+    contain; zero scores dropped; ranked by score then community; packed to
+    ``budget`` tokens.
 
-    The level filter reaches the reports scan (pushdown on the stored
-    table); the scoring is the term equi-join of ``term_matches``.
+    A community that is carried down unchanged has a report on each level; only
+    its deepest one with ``level <= 2`` is read.  The level filter reaches the
+    reports scan; the scoring is the term equi-join of ``term_matches``.
     """
     from kbforge.functions.text import ws_tokens
 
-    r = reports.where(F.col("level") <= level).select(
+    deepest = reports.where(F.col("level") <= level).groupBy("community").agg(F.max("level").alias("level"))
+    r = reports.where(F.col("level") <= level).join(deepest, ["community", "level"]).select(
         F.concat_ws("#", F.col("level").cast("string"), "community").alias("report_id"),
         "level",
         "community",
@@ -373,9 +363,9 @@ def local_search(
         F.max("score").alias("score")
     ).select(
         "query_id", F.lit("relationship").alias("kind"), F.concat_ws(" -- ", "src", "dst").alias("item_id"),
-        "score", F.lit(3).alias("n_tokens"),
+        "score", F.size(ws_tokens(F.concat_ws(" -- ", "src", "dst"))).alias("n_tokens"),
     )
-    unit_hits = seed.join(mentions_df.select(F.col("name").alias("entity_id"), "unit_id").distinct(), "entity_id")
+    unit_hits = seed.join(mentions_df.select(F.col("name").alias("entity_id"), "unit_id"), "entity_id")
     unit_rows = unit_hits.groupBy("query_id", "unit_id").agg(F.sum("score").alias("score")).join(
         units.select("unit_id", "n_tokens"), "unit_id"
     ).select("query_id", F.lit("unit").alias("kind"), F.col("unit_id").alias("item_id"), "score", "n_tokens")

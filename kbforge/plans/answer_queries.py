@@ -97,10 +97,10 @@ def q_turn_log(spark, sf_dir):
 
 @register(
     "pair_turns",
-    """SELECT u.conv_id, u.turn, u.text AS query, a.text AS answer, a.text IS NOT NULL AS answered
-FROM conversations u LEFT JOIN conversations a
-  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-WHERE u.role = 'user'""",
+    """WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+           WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+a AS (SELECT conv_id, turn, text AS query, CASE WHEN next_role = 'assistant' THEN next_text END AS answer FROM n WHERE role = 'user')
+SELECT *, answer IS NOT NULL AS answered FROM a""",
 )
 def q_pair_turns(spark, sf_dir):
     """C2."""
@@ -121,7 +121,8 @@ def q_usage_counts(spark, sf_dir):
     "export_log",
     """SELECT conv_id, turn,
   CASE WHEN role = 'user' THEN to_json({'type': 'user', 'query': text})
-       ELSE to_json({'type': 'bot', 'response': text}) END AS record
+       WHEN role = 'assistant' THEN to_json({'type': 'bot', 'response': text})
+       ELSE to_json({'type': 'system', 'text': text}) END AS record
 FROM conversations""",
 )
 def q_export_log(spark, sf_dir):

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from kbforge.operators.chunking import chunk_documents
 from kbforge.operators.communities import community_reports, hierarchical_communities
 from kbforge.operators.graph import (
+    NAME_FILTER,
     admitted_mentions,
+    copies_of,
     dedupe_units,
     descriptions,
     entity_stats,
@@ -59,11 +61,15 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, Da
 
     deduped = dedupe_units(units)
     ments = materialize(mentions(deduped))
-    ents = entity_stats(ments)
+    ents = entity_stats(ments, **NAME_FILTER)
     adm = admitted_mentions(ments, ents)
-    adm.groupBy(F.col("name").alias("entity_id"), "unit_id").agg(F.count(F.lit(1)).alias("n")).write.mode(
-        "overwrite"
-    ).parquet(f"{root}/mentions")
+    # Found once per text, kept for every unit that holds the text.
+    per_text = adm.groupBy(F.col("name").alias("entity_id"), F.col("unit_id").alias("first_id")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    per_text.join(copies_of(units), "first_id").select("entity_id", "unit_id", "n").write.mode("overwrite").parquet(
+        f"{root}/mentions"
+    )
 
     rels = relationships(adm)
     rels.withColumn("description", F.concat_ws(" -- ", "src", "dst")).write.mode("overwrite").parquet(

@@ -239,7 +239,7 @@ def clean_markdown(c: str) -> str:
 # ---- graph (G3-G9) ------------------------------------------------------------
 
 
-def graph_ctes(min_chars: int = 6, max_words: int = 5, min_units: int = 2, window: int = 5) -> str:
+def graph_ctes(min_chars: int = 6, max_words: int = 5, min_units: int = 2) -> str:
     """CTEs ``dd`` (deduplicated units), ``ments``, ``ents``, ``adm``, ``rels``;
     needs ``units_cte`` first."""
     return rf""",
@@ -255,10 +255,8 @@ ents AS (SELECT name, count(*) AS frequency, count(DISTINCT unit_id) AS n_units
          WHERE length(name) >= {min_chars} AND len(string_split(name, ' ')) <= {max_words}
          GROUP BY name HAVING count(DISTINCT unit_id) >= {min_units}),
 adm AS (SELECT * FROM ments WHERE name IN (SELECT name FROM ents)),
-admk AS (SELECT unit_id, name, row_number() OVER (PARTITION BY unit_id ORDER BY ord) AS k FROM adm),
-prs AS (SELECT DISTINCT x.unit_id, least(x.name, y.name) AS src, greatest(x.name, y.name) AS dst
-        FROM admk x JOIN admk y ON x.unit_id = y.unit_id AND y.k BETWEEN x.k + 1 AND x.k + {window}
-        WHERE x.name <> y.name),
+un AS (SELECT DISTINCT unit_id, name FROM adm),
+prs AS (SELECT x.unit_id, x.name AS src, y.name AS dst FROM un x JOIN un y ON x.unit_id = y.unit_id AND x.name < y.name),
 rels AS (SELECT src, dst, count(*) AS weight FROM prs GROUP BY src, dst)"""
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -111,6 +110,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``materialize`` returned, once
+    nothing reads it any more.  Other files are left alone."""
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 2)[-2] == "kbforge-tables":
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a text-heavy scan at least one partition per core.
 
@@ -124,9 +134,3 @@ def spread(df: DataFrame) -> DataFrame:
         return df.repartition(target)
     return df
 
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -1,4 +1,4 @@
-"""Chunking invariants, windowed relationships and community fixtures."""
+"""Chunking invariants, relationships and community fixtures."""
 
 import random
 
@@ -36,22 +36,41 @@ def test_chunks_cover_and_overlap(spark):
             assert b["start_tok"] - a["start_tok"] == 1100
 
 
-def test_relationship_window(spark):
-    names = ["Alpha", "Bravo", "Charlie", "Delta", "Echo"]
+def test_relationships_pair_all_names_of_a_unit(spark):
+    names = ["Alpha", "Bravo", "Charlie", "Delta", "Echo", "Foxtrot", "Golf"]
     adm = spark.createDataFrame(
-        [("u1", i, n) for i, n in enumerate(names)] + [("u2", 0, "Alpha"), ("u2", 7, "Bravo")],
+        [("u1", i, n) for i, n in enumerate(names)] + [("u1", 9, "Alpha"), ("u2", 0, "Bravo"), ("u2", 70, "Alpha"), ("u3", 0, "Golf")],
         "unit_id string, ord int, name string",
     )
-    got = {(r["src"], r["dst"]): r["weight"] for r in relationships(adm, window=2).collect()}
-    assert got == {
-        ("Alpha", "Bravo"): 2,
-        ("Alpha", "Charlie"): 1,
-        ("Bravo", "Charlie"): 1,
-        ("Bravo", "Delta"): 1,
-        ("Charlie", "Delta"): 1,
-        ("Charlie", "Echo"): 1,
-        ("Delta", "Echo"): 1,
-    }
+    got = {(r["src"], r["dst"]): r["weight"] for r in relationships(adm).collect()}
+    want = {(a, b): 1 for i, a in enumerate(names) for b in names[i + 1 :]}
+    want["Alpha", "Bravo"] = 2
+    assert got == want
+
+
+def test_long_dictionary_entries_match(spark):
+    from kbforge.operators.graph import typed_mentions
+
+    entry = "one two three four five six seven eight"
+    units = spark.createDataFrame([("u", f"See {entry.title()}, or seven eight.")], "unit_id string, text string")
+    names = spark.createDataFrame([("LOCATION", entry), ("LOCATION", "seven eight")], "type string, name string")
+    got = sorted(r["name"] for r in typed_mentions(units, names).collect())
+    assert got == sorted([entry, "seven eight", "seven eight"])
+
+
+def test_names_are_kept_unless_filtered(spark):
+    from kbforge.operators.graph import entity_stats
+
+    ments = spark.createDataFrame([("u", 0, 0, "Cork"), ("u", 1, 0, "A B C D E F G")], "unit_id string, ord int, sent_no int, name string")
+    assert entity_stats(ments).count() == 2
+    assert entity_stats(ments, min_chars=6, max_words=5).count() == 0
+
+
+def test_every_copy_of_a_unit_is_known(spark):
+    from kbforge.operators.graph import copies_of
+
+    units = spark.createDataFrame([("u2", "x"), ("u1", "x"), ("u3", "y")], "unit_id string, text string")
+    assert sorted(map(tuple, copies_of(units).collect())) == [("u1", "u1"), ("u2", "u1"), ("u3", "u3")]
 
 
 def _graph(spark):
@@ -99,7 +118,7 @@ def test_hierarchy_invariants(spark):
     assert len({last[f"a{i}"] for i in range(6)}) == 1
     assert len({last[f"b{i}"] for i in range(6)}) == 1
     assert last["a0"] != last["b0"]
-    assert "lonely" not in last  # no edge: not part of the graph
+    assert last["lonely"] == "lonely"  # no edge: a community of its own
     reps = community_reports(hierarchical_communities(ents, rels), ents, rels).collect()
     assert all(len(r["report"]) <= 2000 for r in reps)
     assert {(r["level"], r["community"]) for r in reps} == {(r["level"], r["community"]) for r in com}

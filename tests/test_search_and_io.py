@@ -98,7 +98,7 @@ def test_export_chat_log(spark):
     back = spark.read.text(f"{d}/log").collect()
     assert len(back) == turns.count()
     rec = json.loads(back[0]["value"])["record"]
-    assert json.loads(rec)["type"] in ("user", "bot")
+    assert json.loads(rec)["type"] in ("user", "bot", "system")
 
 
 def test_searches_on_smoke_data(spark):
@@ -177,3 +177,38 @@ def test_route_unknown_types(spark):
     lenient = {r["query_id"]: r["search_type"] for r in route(valid, searches, unknown="basic").collect()}
     assert strict == {1: "global"}
     assert lenient == {1: "global", 2: "basic"}
+
+
+def test_pair_turns_takes_the_next_logged_turn(spark):
+    from kbforge.operators.chatlog import TURN_BLOCK, pair_turns
+
+    rows = [(1, 0, "system", "s"), (1, 2, "user", "q1"), (1, 5, "assistant", "a1"), (1, 6, "user", "q2"), (1, 9, "user", "q3")]
+    rows += [(1, 3 * TURN_BLOCK, "assistant", "a3"), (2, 0, "user", "q4"), (3, 0, "assistant", "a4")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["answer"], r["answered"]) for r in pair_turns(turns).collect()}
+    assert got == {(1, 2): ("a1", True), (1, 6): (None, False), (1, 9): ("a3", True), (2, 0): (None, False)}
+
+
+def test_budget_cut_in_two_stages(spark):
+    """The two-stage cut equals one running sum, and no part of a hot group
+    holds more than its share."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kbforge.operators.common import within_budget
+
+    rng = random.Random(7)
+    rows = [("hot", rng.random(), i, rng.randint(1, 9)) for i in range(4000)] + [("cold", 0.5, i, 30) for i in range(5)]
+    rows += [("big", 0.9, 0, 500), ("big", 0.1, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, id int, n int")
+    for parts in (1, 32):
+        got = within_budget(df, ["g"], [F.desc("score"), F.asc("id")], F.col("n"), 100, parts=parts).collect()
+        want = set()
+        for g in ("hot", "cold", "big"):
+            total = 0
+            for _, s, i, n in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])):
+                total += n
+                if total <= 100:
+                    want.add((g, i, total))
+        assert {(r["g"], r["id"], r["cum"]) for r in got} == want
