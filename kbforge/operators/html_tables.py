@@ -34,14 +34,30 @@ MARKDOWN_ROWS = 20
 
 
 class _Node:
-    __slots__ = ("tag", "children", "parent", "order")
+    __slots__ = ("tag", "children", "parent", "order", "attrs")
 
     def __init__(self, tag, parent, order):
-        self.tag, self.parent, self.order, self.children = tag, parent, order, []
+        self.tag, self.parent, self.order, self.children, self.attrs = tag, parent, order, [], None
+
+
+# Start tags that end an open element (its end tag may be left out), and the
+# element in which the search for it stops.
+IMPLIED_ENDS = {
+    "tr": (("td", "th", "tr", "caption"), "table"),
+    "td": (("td", "th"), "tr"),
+    "th": (("td", "th"), "tr"),
+    "thead": (("td", "th", "tr", "caption", "thead", "tbody"), "table"),
+    "tbody": (("td", "th", "tr", "caption", "thead", "tbody"), "table"),
+    "tfoot": (("td", "th", "tr", "caption", "thead", "tbody"), "table"),
+    "p": (("p",), "td"),
+    "li": (("li",), "ul"),
+}
+MAX_SPAN = 1_000
 
 
 class _TreeBuilder(HTMLParser):
-    """Element tree in document order; unclosed elements end with their parent."""
+    """Element tree in document order; unclosed elements end where the next
+    start tag implies it, or with their parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -50,7 +66,16 @@ class _TreeBuilder(HTMLParser):
         self.elements: list[_Node] = []
 
     def handle_starttag(self, tag, attrs):
+        ended, within = IMPLIED_ENDS.get(tag, ((), ""))
+        for i in range(len(self.stack) - 1, 0, -1) if ended else ():
+            open_tag = self.stack[i].tag
+            if open_tag in (within, "table"):
+                break
+            if open_tag in ended:
+                del self.stack[i:]
         node = _Node(tag, self.stack[-1], len(self.elements))
+        if tag in ("td", "th"):
+            node.attrs = dict(attrs)
         self.stack[-1].children.append(node)
         self.elements.append(node)
         if tag not in VOID_TAGS:
@@ -66,43 +91,89 @@ class _TreeBuilder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
-def _text(node, sep: str = "") -> str:
-    out = []
+def _walk(node, skip=()):
+    """Text pieces and elements below ``node`` in document order, without a
+    call per level (pages can nest deeper than Python's call stack)."""
+    todo = list(reversed(node.children))
+    while todo:
+        ch = todo.pop()
+        yield ch
+        if not isinstance(ch, str) and ch.tag not in skip:
+            todo.extend(reversed(ch.children))
 
-    def walk(n):
-        for ch in n.children:
-            if isinstance(ch, str):
-                s = ch.strip()
-                if s:
-                    out.append(s)
-            else:
-                walk(ch)
 
-    walk(node)
-    return sep.join(out)
+def _text(node, sep: str = "") -> str:
+    pieces = (ch.strip() for ch in _walk(node) if isinstance(ch, str))
+    return sep.join(s for s in pieces if s)
 
 
 def _descendants(node):
-    for ch in node.children:
-        if not isinstance(ch, str):
-            yield ch
-            yield from _descendants(ch)
+    return (ch for ch in _walk(node) if not isinstance(ch, str))
 
 
 def _own_rows(table):
-    """``tr`` elements of this table, not of a nested one."""
+    """``tr`` elements of this table, not of a nested one; head rows apart."""
     rows, head = [], []
+    for ch in _walk(table, skip=("table",)):
+        if not isinstance(ch, str) and ch.tag == "tr":
+            up = ch.parent
+            while up is not table and up.tag != "thead":
+                up = up.parent
+            (head if up is not table else rows).append(ch)
+    return head, rows
 
-    def walk(n, in_head):
-        for ch in n.children:
-            if isinstance(ch, str) or ch.tag == "table":
-                continue
-            if ch.tag == "tr":
-                (head if in_head else rows).append(ch)
-            walk(ch, in_head or ch.tag == "thead")
 
-    walk(table, False)
-    return head, rows
+def _span(cell, name: str) -> int:
+    value = (cell.attrs or {}).get(name) or "1"
+    return min(max(int(value), 1), MAX_SPAN) if value.strip().isdigit() else 1
+
+
+def _grid(trs) -> list[list[tuple]]:
+    """Cells of rows as (text, is header), spans filled with the same cell."""
+    out, held = [], {}
+    for tr in trs:
+        row, column = [], 0
+
+        def carried():
+            nonlocal column
+            while column in held:
+                cell, left = held.pop(column)
+                if left > 1:
+                    later[column] = (cell, left - 1)
+                row.append(cell)
+                column += 1
+
+        later = {}
+        for c in _cells(tr):
+            carried()
+            cell = (" ".join(_text(c, " ").split()), c.tag == "th")
+            down = _span(c, "rowspan")
+            for _ in range(_span(c, "colspan")):
+                if down > 1:
+                    later[column] = (cell, down - 1)
+                row.append(cell)
+                column += 1
+        carried()
+        held = later
+        out.append(row)
+    return out
+
+
+def _unique(header: list[str]) -> list[str]:
+    """Repeated column names get ``.1``, ``.2``, ... as data frames name them."""
+    seen: dict[str, int] = {}
+    taken = set(header)
+    out = []
+    for name in header:
+        n = seen.get(name, 0)
+        new = name if n == 0 else f"{name}.{n}"
+        while n and new in taken:
+            n += 1
+            new = f"{name}.{n}"
+        seen[name] = n + 1
+        taken.add(new)
+        out.append(new)
+    return out
 
 
 def _cells(tr):
@@ -138,9 +209,11 @@ def _context(table, elements) -> str:
 def parse_tables(html: str):
     """(index, n_tables, context, columns, rows) per parseable table.
 
-    A table without any row cannot be parsed: it is skipped but keeps its
-    index and still counts in ``n_tables``.  Header: the ``thead`` rows, else
-    a first row made only of ``th`` cells; otherwise columns are numbered.
+    A table without any row, or one that fails, is skipped but keeps its index
+    and still counts in ``n_tables``; the page's other tables are returned.
+    Header: the last ``thead`` row, else a first row made only of ``th`` cells;
+    otherwise columns are numbered.  Spans repeat their cell; repeated column
+    names are numbered.
     """
     b = _TreeBuilder()
     b.feed(html or "")
@@ -148,22 +221,30 @@ def parse_tables(html: str):
     tables = [e for e in b.elements if e.tag == "table"]
     out = []
     for i, t in enumerate(tables):
-        head, body = _own_rows(t)
-        if not head and not body:
+        try:
+            parsed = _parse_table(t)
+        except (ValueError, IndexError, KeyError):
             continue
-        if not head and body and all(c.tag == "th" for c in _cells(body[0])) and _cells(body[0]):
-            head, body = [body[0]], body[1:]
-        header = [" ".join(_text(c, " ").split()) for c in _cells(head[-1])] if head else []
-        data = [[" ".join(_text(c, " ").split()) for c in _cells(r)] for r in body]
-        width = max([len(header)] + [len(r) for r in data])
-        if not header:
-            header = [str(j) for j in range(width)]
-        header = header + [str(j) for j in range(len(header), width)]
-        data = [r + [""] * (width - len(r)) for r in data]
-        out.append((i, len(tables), _context(t, b.elements), header, data))
+        if parsed is not None:
+            out.append((i, len(tables), _context(t, b.elements), *parsed))
     return out
 
 
+def _parse_table(table) -> tuple[list[str], list[list[str]]] | None:
+    head, body = _own_rows(table)
+    if not head and not body:
+        return None
+    body = _grid(body)
+    head = _grid(head)
+    if not head and body[0] and all(is_header for _, is_header in body[0]):
+        head, body = [body[0]], body[1:]
+    header = [text for text, _ in head[-1]] if head else []
+    data = [[text for text, _ in r] for r in body]
+    width = max([len(header)] + [len(r) for r in data])
+    header = header + [str(j) for j in range(len(header), width)]
+    return _unique(header), [r + [""] * (width - len(r)) for r in data]
+
+
 def _extract_partition(batches):
     for pdf in batches:
         recs = []
@@ -301,10 +382,12 @@ def table_sections(tables: DataFrame) -> DataFrame:
 def table_records(tables: DataFrame, pages: DataFrame) -> DataFrame:
     """S6 records: url, table_index, summary, context, shape, data (one map
     per row, column -> cell)."""
-    rec = tables.join(pages.select("page_id", "url"), "page_id")
+    # The record's index counts the tables that were parsed, from 0.
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("table_index")) - 1
+    rec = tables.withColumn("place", place.cast("int")).join(pages.select("page_id", "url"), "page_id")
     return rec.select(
         "url",
-        "table_index",
+        F.col("place").alias("table_index"),
         table_summary(F.col("columns"), F.col("rows")).alias("summary"),
         "context",
         F.array(F.size("rows"), F.size("columns")).alias("shape"),

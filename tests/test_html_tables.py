@@ -95,3 +95,30 @@ def test_compose_with_tables(spark):
     assert text.endswith("\n")
     meta = sc.collect()[0]["metadata"]
     assert meta["num_tables"] == 1 and meta["title"] == "Grants page title"
+
+
+def test_implied_ends_spans_and_repeated_headers(spark):
+    (_, _, _, cols, rows), = parse_tables("<table><tr><th>A<th>B<tr><td>1<td>2<tr><td>3<td>4</table>")
+    assert cols == ["A", "B"] and rows == [["1", "2"], ["3", "4"]]
+    html = '<table><tr><th colspan=2>A</th><th>B</th></tr><tr><td rowspan="2">x</td><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>'
+    (_, _, _, cols, rows), = parse_tables(html)
+    assert cols == ["A", "A.1", "B"] and rows == [["x", "1", "2"], ["x", "3", "4"]]
+    (_, _, _, cols, rows), = parse_tables("<table><tr><th></th><th></th></tr><tr><td>1</td><td>2</td></tr></table>")
+    assert cols == ["", ".1"] and rows == [["1", "2"]]
+
+
+def test_deep_pages_and_broken_tables_do_not_stop_a_job(spark):
+    from kbforge.operators.html_tables import table_records
+
+    deep = "<table>" + "<tr><td><div>a" * 3000 + "</table>"
+    pages = [
+        (1, "u1", deep),
+        (2, "u2", "<table></table><table><tr><th></th><th></th></tr><tr><td>x</td><td>y</td></tr></table>"),
+        (3, "u3", "<div>" * 5000 + T1),
+        (4, "u4", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["url"]: r for r in table_records(extract_tables(df), df).collect()}
+    assert set(got) == {"u1", "u2", "u3"}
+    assert got["u2"]["table_index"] == 0 and got["u2"]["data"] == [{"": "x", ".1": "y"}]
+    assert got["u1"]["shape"][0] >= 1
