@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kbforge.functions.text import col_of, extract_all, map_accents
+from kbforge.functions.text import WS_CLASS, col_of, extract_all, map_accents
 
 # Fixed values that must equal the reference's scoring for equal results:
 # number pattern, capitalised-term pattern, the 13 domain keywords and the
 # metric weights (numbers 0.5, keywords 0.3, terms 0.2).
 NUMBER_PATTERN = r"[\d,]+(?:\.\d+)?"
-CAPITAL_TERM_PATTERN = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+# (with ``\s`` spelled out as Unicode white space, as Python has it)
+CAPITAL_TERM_PATTERN = rf"\b[A-Z][a-z]+(?:{WS_CLASS}+[A-Z][a-z]+)*\b"
 SCHEME_KEYWORDS = (
     "First Home Scheme",
     "Help to Buy",

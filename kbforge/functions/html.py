@@ -5,7 +5,7 @@ page table of any size streams through whole-stage codegen without a Python
 worker.  The regex form covers the markup of ordinary pages: comments,
 script/style/nav/footer/header blocks, a region tag that may be unclosed,
 inline tags and character entities.  Table cells need real parsing; that is
-done by the UDTF in ``kbforge.operators.html_tables``.
+done in ``kbforge.operators.html_tables``.
 """
 
 from __future__ import annotations
@@ -60,11 +60,18 @@ def region(html) -> Column:
     return out
 
 
+# A tag, in which ``>`` may stand inside quotes; one whose quotes don't close
+# ends at its first ``>``.
+TAG_PATTERN = r"""<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*+>"""
+# Stands where a tag was: a text piece keeps its own line breaks.
+PIECE_BREAK = "\u0001"
+
+
 def text_lines(fragment, sep: str) -> Column:
     """Text of an HTML fragment: every tag ends a text piece, entities are
     decoded, pieces are stripped, empty ones dropped, the rest joined."""
-    pieces = F.split(decode_entities(F.regexp_replace(col_of(fragment), r"<[^>]*>", "\n")), "\n")
-    stripped = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    marked = F.regexp_replace(F.translate(col_of(fragment), PIECE_BREAK, ""), TAG_PATTERN, PIECE_BREAK)
+    stripped = F.transform(F.split(decode_entities(marked), PIECE_BREAK), strip_ws)
     return F.array_join(F.filter(stripped, lambda p: p != ""), sep)
 
 

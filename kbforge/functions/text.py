@@ -4,7 +4,7 @@ All of them are native Spark expressions (regex, split, array functions), so
 they run inside whole-stage codegen and need no Python worker.
 
 Regex dialects: Spark uses java.util.regex.  The oracle SQL in
-``kbforge.queries`` runs the same patterns on RE2, so patterns here avoid the
+``kbforge.plans`` runs the same patterns on RE2, so patterns here avoid the
 constructs the two disagree on (lookaround, ``(?U)``, back-references in
 patterns) and the accent mapping below fixes ``\\b`` next to accented letters.
 """
@@ -29,14 +29,16 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# The whitespace class of Java's (and RE2's) \s, for regex-free trimming.
-WS_CHARS = " \t\n\u000b\f\r"
+# White space as Python's ``str.strip`` and ``\s`` have it (Java's and RE2's
+# ``\s`` are ASCII only): for trimming, and as a regex class for both.
+WS_CODES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+WS_CHARS = "".join(map(chr, WS_CODES))
+WS_CLASS = "[" + "".join(f"\\x{{{c:x}}}" for c in WS_CODES) + "]"
 
 
 def strip_ws(c) -> Column:
-    r"""Python ``str.strip()`` for these texts: removes spaces, tabs and line
-    breaks at both ends (``btrim`` with the ``\s`` characters: the same
-    result as ``regexp_replace('^\s+|\s+$', '')`` without a regex scan)."""
+    """Python ``str.strip()``: removes white space at both ends, without a
+    regex scan."""
     return F.btrim(col_of(c), F.lit(WS_CHARS))
 
 

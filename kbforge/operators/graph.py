@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbforge.functions.evaluation import CAPITAL_TERM_PATTERN
-from kbforge.functions.text import TERM_PATTERN, extract_all, map_accents, strip_ws
+from kbforge.functions.text import TERM_PATTERN, WS_CLASS, extract_all, map_accents, strip_ws
 from kbforge.operators.common import top_k_per_group
 from kbforge.session import broadcast_if_small
 
@@ -90,7 +90,7 @@ def mentions(units: DataFrame) -> DataFrame:
         "_s",
         lambda s, i: F.transform(
             extract_all(map_accents(s), CAPITAL_TERM_PATTERN),
-            lambda n: F.struct(i.alias("sent_no"), F.regexp_replace(n, r"\s+", " ").alias("name")),
+            lambda n: F.struct(i.alias("sent_no"), F.regexp_replace(n, WS_CLASS + "+", " ").alias("name")),
         ),
     )
     return sents.select("unit_id", F.posexplode(F.flatten(per_sentence)).alias("ord", "m")).select(

@@ -6,11 +6,13 @@ RE2 and java.util.regex differ; DuckDB needs the ``'g'`` flag to replace
 every match, as Spark does.
 """
 
-STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+from kbforge.functions.text import WS_CLASS, WS_CODES
+
+WS_SQL = "(" + " || ".join(f"chr({c})" for c in WS_CODES) + ")"
 
 
 def strip(c: str) -> str:
-    return STRIP.format(c=c)
+    return f"trim({c}, {WS_SQL})"
 
 
 def ws_tokens(c: str) -> str:
@@ -71,7 +73,7 @@ def number_set(c: str) -> str:
 def capital_term_set(c: str) -> str:
     return (
         rf"list_distinct(regexp_extract_all(regexp_replace({c}, '[À-ÖØ-öø-ɏ]', '_', 'g'), "
-        rf"'\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))"
+        rf"'\b[A-Z][a-z]+(?:{WS_CLASS}+[A-Z][a-z]+)*\b'))"
     )
 
 
@@ -170,9 +172,10 @@ def region(h: str) -> str:
 
 
 def text_lines(frag: str, sep: str) -> str:
-    pieces = f"string_split({decode_entities(f'regexp_replace({frag}, {chr(39)}<[^>]*>{chr(39)}, {NL}, {chr(39)}g{chr(39)})')}, {NL})"
-    stripped = rf"list_transform({pieces}, lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g'))"
-    return f"array_to_string(list_filter({stripped}, lambda p: p <> ''), {sep})"
+    tag = """'<(?:[^>"'']+|"[^"]*"|''[^'']*'')*>|<[^>]*>'"""
+    marked = f"regexp_replace(replace({frag}, chr(1), ''), {tag}, chr(1), 'g')"
+    pieces = f"string_split({decode_entities(marked)}, chr(1))"
+    return f"array_to_string(list_filter(list_transform({pieces}, lambda p: {strip('p')}), lambda p: p <> ''), {sep})"
 
 
 def main_text(h: str) -> str:
@@ -246,9 +249,9 @@ def graph_ctes(min_chars: int = 6, max_words: int = 5, min_units: int = 2) -> st
 dd AS (SELECT * FROM units WHERE unit_id IN (SELECT min(unit_id) FROM units GROUP BY md5(text))),
 ms0 AS (SELECT unit_id, flatten(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'),
           lambda s, i: list_transform(
-              regexp_extract_all(regexp_replace(s, '[À-ÖØ-öø-ɏ]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'),
-              lambda n: {{'sent_no': i - 1, 'name': regexp_replace(n, '\s+', ' ', 'g'),
-                         'sentence': regexp_replace(s, '^\s+|\s+$', '', 'g')}}))) AS ms FROM dd),
+              regexp_extract_all(regexp_replace(s, '[À-ÖØ-öø-ɏ]', '_', 'g'), '\b[A-Z][a-z]+(?:{WS_CLASS}+[A-Z][a-z]+)*\b'),
+              lambda n: {{'sent_no': i - 1, 'name': regexp_replace(n, '{WS_CLASS}+', ' ', 'g'),
+                         'sentence': {strip('s')}}}))) AS ms FROM dd),
 ments AS (SELECT unit_id, ord, m.sent_no AS sent_no, m.name AS name, m.sentence AS sentence FROM (
             SELECT unit_id, generate_subscripts(ms, 1) - 1 AS ord, unnest(ms) AS m FROM ms0)),
 ents AS (SELECT name, count(*) AS frequency, count(DISTINCT unit_id) AS n_units FROM ments

@@ -129,3 +129,17 @@ def test_validate_requests(spark):
     assert got[4] == ("", "drift", EMPTY_QUERY)
     assert got[5] == ("q5", "drift", BAD_TYPE)
     assert got[6] == ("", "basic", EMPTY_QUERY)
+
+
+def test_tags_with_quoted_signs_and_unicode_space(spark):
+    from pyspark.sql import functions as F
+
+    from kbforge.functions.evaluation import capital_term_set
+    from kbforge.functions.html import main_text
+    from kbforge.functions.text import strip_ws
+
+    html = "<body><a title='a>b'>link</a><p>one\ntwo </p><p> three </p><b class=\"x'\">don't</b></body>"
+    df = spark.createDataFrame([(html, "  x　", "First Home and Cork")], "h string, s string, t string")
+    r = df.select(main_text("h").alias("h"), strip_ws("s").alias("s"), F.sort_array(capital_term_set("t")).alias("t")).first()
+    assert r["h"] == "link\none\ntwo\nthree\ndon't" and r["s"] == "x"
+    assert r["t"] == ["Cork", "First Home"]
