@@ -11,7 +11,7 @@ from kbforge.sources.readers import read_table
 #: Rows and bytes of one Arrow batch handed to Python.  Texts can be long, so
 #: the default of 10,000 rows would need gigabytes in a worker.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 
 #: The ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"

@@ -5,8 +5,8 @@
    bounded number of shingles, beyond which a group is split by a hash.
 3. The token-group matrix holds which groups a shingle occurs in: of each set
    the first few in one order of all shingles, so many that similar sets share
-   some of them.  Very frequent shingles come last in the order, so that
-   passages many documents share meet no one.
+   some of them.  Frequent shingles come last in the order, so that passages
+   many documents share hardly meet.
 4. The rows of the matrix that two groups share bound the overlap of any two of
    their sets; only pairs of groups that can qualify are brought together.
    There, for each set of the one, the overlap with the other's union of
@@ -47,11 +47,12 @@ PERCENT = 85
 MIN_HASHES = (0x5DEECE66D, 0x2545F4914F6CDD1D)
 #: A group holds about so many shingles at most, unless one set has more.
 GROUP_SHINGLES = 150_000
-#: A shingle is frequent if it is more than this share of all (so there are at
-#: most as many frequent shingles as the inverse: 8 MB of hashes).
-FREQUENT_SHARE = 1 / (1 << 20)
-#: Occurrences in so many shingles seen by a task from which a shingle is counted.
-LOCAL_SHINGLES, LOCAL_LEAST = 2_000_000, 4
+#: The most frequent shingles, this many at most (16 MB), have levels by the
+#: logarithm of their counts; the order of shingles goes by level, then hash.
+FREQUENT, FREQUENT_LEAST = 1 << 20, 8
+#: A task counts so many shingles at a time, and returns those it has met in
+#: two different sets at least.
+LOCAL_SHINGLES, LOCAL_LEAST = 4_000_000, 2
 
 #: Classes whose texts are fetched: their keys are broadcast up to this many
 #: rows of 40 bytes.
@@ -88,50 +89,52 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Hashes of very frequent shingles, sorted; at most 1 / FREQUENT_SHARE."""
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent shingles, sorted, and their levels.  The
+    counts need not be exact: any order that all sets share will do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = total = 0
+        held: dict[tuple[int, int], np.ndarray] = {}  # equal sets count once
+        size = 0
 
         def counted() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held.values()]), return_counts=True)
             often = n >= LOCAL_LEAST
             return pa.RecordBatch.from_arrays([pa.array(_signed(token[often])), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), width):
-                held.append(s)
-                size += len(s)
-                total += len(s)
+                key = set_key(s)
+                if key not in held:
+                    held[key] = s
+                    size += len(s)
             if size >= LOCAL_SHINGLES:
                 yield counted()
-                held, size = [], 0
+                held, size = {}, 0
         yield counted()
-        # The sum of all, under a token of no shingle.
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["token", "n"])
 
-    counts = stored(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total = counts.where("token is null").agg(F.sum("n")).first()[0] or 0
-    least = max(total * FREQUENT_SHARE, 2.0 * LOCAL_LEAST)
-    often = counts.where(F.col("token").isNotNull() & (F.col("n") > least)).select("token").toPandas()
-    return np.sort(often.token.to_numpy(np.int64).view(np.uint64))
+    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") > FREQUENT_LEAST).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    token = often.token.to_numpy(np.int64).view(np.uint64)
+    by_hash = np.argsort(token)
+    return token[by_hash], np.log2(often.n.to_numpy(float)).astype(np.int8)[by_hash]
 
 
-def _ordered_prefix(tokens: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
-    """The first ``n`` of a sorted set when frequent ones come last."""
+def _ordered_prefix(tokens: np.ndarray, n: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``n`` of a set sorted by hash, by level and then by hash."""
+    table, levels = frequent
 
-    def is_frequent(x: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(frequent, x)
-        return frequent[np.minimum(at, len(frequent) - 1)] == x if len(frequent) else np.zeros(len(x), bool)
+    def level(x: np.ndarray) -> np.ndarray:
+        if not len(table):
+            return np.zeros(len(x), np.int8)
+        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+        return np.where(table[at] == x, levels[at], 0)
 
     look = min(len(tokens), 2 * n + 8)
-    flag = is_frequent(tokens[:look])
-    if look < len(tokens) and look - flag.sum() < n:
-        flag, look = is_frequent(tokens), len(tokens)
-    rare = tokens[:look][~flag]
-    return rare[:n] if len(rare) >= n else np.concatenate([rare, tokens[:look][flag][: n - len(rare)]])
+    of = level(tokens[:look])
+    if look < len(tokens) and np.count_nonzero(of == 0) < n:
+        of = level(tokens)
+    return tokens[: len(of)][np.argsort(of, kind="stable")[:n]]
 
 
 def sets(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:

@@ -201,7 +201,7 @@ def test_join(docs, rows, width, percent, group_size, monkeypatch):
 
 
 def test_frequent_shingles_only_order(docs, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LOCAL_LEAST", 1)
+    monkeypatch.setattr(ngram_join, "FREQUENT_LEAST", 1)
     got = ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(tuple(r) for r in got) == plain_join(rows, 4, 85)[0]
 
