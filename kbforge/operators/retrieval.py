@@ -68,11 +68,8 @@ def term_matches(
 
 
 # Number of most frequent corpus terms treated as "common" by the pruned
-# lexical search (a bounded, broadcast set), and the question batch size
-# (distinct question terms) from which pruning is used: below it a single
-# full join costs less than the extra passes pruning makes over the corpus.
+# lexical search (a bounded, broadcast set).
 N_COMMON_TERMS = 128
-PRUNE_MIN_QUESTION_TERMS = 50_000
 
 
 def lexical_topk(
@@ -85,7 +82,6 @@ def lexical_topk(
     unit_text: str = "text",
     carry=(),
     n_common: int = N_COMMON_TERMS,
-    prune_min_terms: int = PRUNE_MIN_QUESTION_TERMS,
 ) -> DataFrame:
     """R6, lexical basic search: top-``k`` units per question by the number of
     distinct question terms they contain; ties by ``unit_id``.
@@ -103,13 +99,9 @@ def lexical_topk(
     top-k.  The few questions without that proof are answered by the full
     term join.  Same result as ``n_common=0``, far fewer join rows.
 
-    Pruning is chosen when the batch holds at least ``prune_min_terms``
-    distinct (question, term) pairs (a bounded count); both paths return the
-    same rows.
+    The plan is the same for every batch size.
     """
-    if n_common <= 0 or (
-        question_terms(queries, query_id, query_text).limit(prune_min_terms).count() < prune_min_terms
-    ):
+    if n_common <= 0:
         return _lexical_full(queries, units, k, query_id, query_text, unit_id, unit_text, carry)
     from kbforge.session import materialize
 

@@ -48,13 +48,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _files(spark: SparkSession, folder: str) -> list[str]:
+    """Name, size and time of change of the files in a folder (or of a file)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(p))
+
+
 def default_root(spark: SparkSession, sf_dir: str) -> str:
-    key = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    """Folder of the index of a data directory's documents as they are now:
+    changed input gets another folder, never a stale index."""
+    seen = _files(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = hashlib.md5("\n".join([sf_dir.rstrip("/"), *seen]).encode()).hexdigest()[:12]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kbforge-index/{key}"
 
 
 def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, DataFrame]:
-    """Compute and write every knowledge table under ``root``."""
+    """Compute and write every knowledge table under ``root``.  The marker that
+    ``index_for`` looks for goes first and comes back last, so a build that
+    was broken off is never read."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_built")
+    marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(marker, True)
     units = chunk_documents(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
     units.write.mode("overwrite").parquet(f"{root}/text_units")
     units = spark.read.parquet(f"{root}/text_units")

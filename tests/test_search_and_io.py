@@ -162,7 +162,7 @@ def test_pruned_lexical_equals_full(spark):
     units = spark.createDataFrame([(f"u{i:03d}", text(rng.randint(5, 40))) for i in range(200)], "unit_id string, text string")
     qs = spark.createDataFrame([(j, text(rng.randint(1, 12))) for j in range(60)], "query_id long, query string")
     full = lexical_topk(qs, units, k=3, n_common=0).orderBy("query_id", "rank").collect()
-    pruned = lexical_topk(qs, units, k=3, n_common=5, prune_min_terms=1).orderBy("query_id", "rank").collect()
+    pruned = lexical_topk(qs, units, k=3, n_common=5).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in full] == [tuple(r) for r in pruned]
 
 
