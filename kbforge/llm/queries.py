@@ -33,7 +33,43 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
 
 
-@register("op2_quality_rules")
+def _quality_sql() -> str:
+    """The measures and the threshold table in DuckDB's SQL."""
+    space = r"[\x20\x09-\x0D]"
+    stop = sorted({form for line in quality.STOP_WORDS for x in line.split() for form in (x, x.capitalize(), x.upper())})
+    ratios = {
+        "mean_word_chars": ("word_chars", "n_words"),
+        "symbols_per_word": ("n_symbols", "n_words"),
+        "stop_word_ratio": ("n_stop_words", "n_words"),
+        "dup_line_ratio": ("n_dup_lines", "n_lines"),
+        "bullet_line_ratio": ("n_bullet_lines", "n_lines"),
+        "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"),
+        "letter_runs_per_word": ("n_letter_runs", "n_words"),
+    }
+    bad = ["base_failed"]
+    for _, ratio, low, high in quality.THRESHOLDS:
+        value = "(CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0 END)".format(*ratios[ratio])
+        bad += [f"{value} < {low}"] * (low is not None) + [f"{value} > {high}"] * (high is not None)
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '{space}+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS k FROM w, range(1, len(w) - 6) g(i)),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM again, range(0, 8) g(j) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             len(list_filter(w, lambda x: list_contains({stop!r}, x))) AS n_stop_words,
+             len(list_filter(l, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•‣·]'))) AS n_bullet_lines,
+             len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '(\.\.\.|…)$'))) AS n_ellipsis_lines,
+             len(regexp_extract_all(t, '\p{{L}}+')) AS n_letter_runs
+      FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT ({' OR '.join(bad)}) AS kept FROM b"""
+
+
+@register("op2_quality_rules", _quality_sql())
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and threshold-table verdict of every document."""
     judged = quality.apply_rules(quality.measure(load(spark, sf_dir, "documents")))
