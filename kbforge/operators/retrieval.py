@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbforge.functions.text import term_set
+from kbforge.functions.text import TERM_PATTERN, extract_all, term_set
 from kbforge.operators.common import rounded, top_k_per_group, within_budget
 from kbforge.session import broadcast_if_small
 
@@ -152,6 +152,51 @@ def lexical_topk(
     return exact.unionByName(rest)
 
 
+# Terms of a phrase that the join looks for.
+PHRASE_KEY_TERMS = 8
+
+
+def phrase_search(
+    queries: DataFrame,
+    units: DataFrame,
+    query_id: str = "query_id",
+    query_text: str = "query",
+    unit_id: str = "unit_id",
+    unit_text: str = "text",
+) -> DataFrame:
+    """R6, exact form of basic search: ``(query_id, unit_id)`` of the units that
+    hold a question's terms one after the other, in its order.  A question
+    without terms matches nothing.
+
+    The first terms of a question (eight, or all of a shorter one) are an
+    equi-join key with the units' runs of that length; units are cut into runs
+    only of lengths that occur among the questions.  The whole phrase is then
+    compared.
+    """
+
+    def run(terms, length):
+        return F.array_join(F.slice(terms, 1, length), " ")
+
+    q = queries.select(F.col(query_id).alias("query_id"), extract_all(F.lower(query_text), TERM_PATTERN).alias("_q"))
+    q = q.where(F.size("_q") > 0).withColumn("_n", F.least(F.size("_q"), F.lit(PHRASE_KEY_TERMS)))
+    q = q.select("query_id", "_n", run("_q", F.col("_n")).alias("_key"), F.array_join("_q", " ").alias("_phrase"))
+    lengths = sorted(r["_n"] for r in q.select("_n").distinct().collect())  # eight at most
+    u = units.select(F.col(unit_id).alias("unit_id"), extract_all(F.lower(unit_text), TERM_PATTERN).alias("_u"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_u"), F.lit(1)))
+
+    def runs_of(n: int):
+        fits = F.filter(starts, lambda i: i + n - 1 <= F.size("_u"))
+        return F.transform(
+            fits, lambda i: F.struct(F.lit(n).alias("_n"), F.array_join(F.slice(F.col("_u"), i, n), " ").alias("_key"))
+        )
+
+    runs = [runs_of(n) for n in lengths] or [F.array().cast("array<struct<_n:int,_key:string>>")]
+    u = u.select("unit_id", F.array_join("_u", " ").alias("_text"), F.explode(F.array_distinct(F.concat(*runs))).alias("_r"))
+    hits = u.join(broadcast_if_small(q, MAX_BROADCAST_TERMS), (F.col("_r._n") == F.col("_n")) & (F.col("_r._key") == F.col("_key")))
+    whole = F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_phrase", F.lit(" ")))
+    return hits.where(whole).select("query_id", "unit_id")
+
+
 def _lexical_full(
     queries: DataFrame,
     units: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbforge.operators.chunking import chunk_documents
-from kbforge.operators.retrieval import attribute_sources, lexical_topk, pack_context
+from kbforge.operators.retrieval import attribute_sources, lexical_topk, pack_context, phrase_search
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
 
@@ -33,6 +33,20 @@ def q_lexical_topk(spark, sf_dir):
     return lexical_topk(_benchmark_questions(spark, sf_dir), units_of(spark, sf_dir), k=3)
 
 
+@register(
+    "phrase_search",
+    "WITH"
+    + S.units_cte()
+    + r""",
+us AS (SELECT unit_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS u FROM units),
+qs AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') AS q FROM benchmark)
+SELECT query_id, unit_id FROM qs JOIN us ON contains(u, ' ' || q || ' ') WHERE q <> ''""",
+)
+def q_phrase_search(spark, sf_dir):
+    """Units that hold a whole benchmark question."""
+    return phrase_search(_benchmark_questions(spark, sf_dir), units_of(spark, sf_dir))
+
+
 def search_evidence(spark, sf_dir, k: int = 10, budget: int = 8000):
     """Flagship: lexical top-k units per benchmark question, packed into an
     8000-token context and attributed to their source."""

@@ -212,3 +212,14 @@ def test_budget_cut_in_two_stages(spark):
                 if total <= 100:
                     want.add((g, i, total))
         assert {(r["g"], r["id"], r["cum"]) for r in got} == want
+
+
+def test_phrase_search(spark):
+    from kbforge.operators.retrieval import phrase_search
+
+    units = spark.createDataFrame(
+        [("u1", "Help to, Buy now: one two three four five six seven eight nine."), ("u2", "buy to help"), ("u3", "")], "unit_id string, text string"
+    )
+    qs = [(1, "help to buy"), (2, "one two three four five six seven eight nine"), (3, "one two three four five six seven eight ten"), (4, "?"), (5, "nine")]
+    got = phrase_search(spark.createDataFrame(qs, "query_id long, query string"), units).collect()
+    assert sorted(map(tuple, got)) == [(1, "u1"), (2, "u1"), (5, "u1")]
