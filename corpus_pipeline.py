@@ -33,7 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not, once or twice."""
+    """Documents as often as the mix takes them, and the words of those that it
+    takes a part of."""
     prepare(spark)
     return mixing.materialise_mix(docs)
 

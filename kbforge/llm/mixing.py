@@ -15,7 +15,7 @@ a source (step 3); documents meet only inside a shard.
 
 Defined results: a null text has no words and nothing is taken of it; a null
 source is a source of its own, the last; documents of the same id are separate
-rows; a document is taken at most twice; an empty table gives an empty table.
+rows; a document's words are taken at most twice each; an empty table gives an empty table.
 The same rows give the same result, in any order and partitioning.
 """
 
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbforge.llm.common import stored, whole_text, words
+from kbforge.llm.common import SPACE_RUN, SPACES, stored, whole_text, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -112,8 +112,9 @@ def _shard_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(quota=quota)[["rank", "shard", "shard_size", "block", "quota", "source_size", "target"]]
 
 
-def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(row, size, source_size, target, taken)``; ``row`` holds the columns of ``df``."""
+def _laid(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, shard_words: int) -> DataFrame:
+    """Rows with the whole passes over their shard (``full``) and the further
+    word ranges taken of them (``ranges``, ends exclusive, maybe empty)."""
     base = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         F.col(id_col).cast("string").alias("id"),
@@ -147,14 +148,45 @@ def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "t
     blocks = F.greatest(F.floor(F.col("shard_size") / F.col("block")), F.lit(1))
     laid = laid.withColumn("from", F.pmod(F.xxhash64(F.lit(seed), F.lit("from"), "rank", "shard"), blocks) * F.col("block"))
     end, to = F.col("start") + F.col("size"), F.col("from") + F.col("rest")
-    overlap = lambda a, b: F.greatest(F.least(end, b) - F.greatest(F.col("start"), a), F.lit(0).cast("long"))
-    taken = F.col("full") * F.col("size") + overlap(F.col("from"), F.least(to, F.col("shard_size"))) + overlap(F.lit(0).cast("long"), to - F.col("shard_size"))
-    return laid.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    zero = F.lit(0).cast("long")
+
+    def overlap(a: Column, b: Column) -> Column:
+        first = F.greatest(F.col("start"), a)
+        return F.struct((first - F.col("start")).alias("a"), (F.greatest(F.least(end, b), first) - F.col("start")).alias("b"))
 
+    ranges = F.array(overlap(F.col("from"), F.least(to, F.col("shard_size"))), overlap(zero, to - F.col("shard_size")))
+    return laid.select("row", "size", "source_size", "target", "full", ranges.alias("ranges"))
 
-def materialise_mix(df: DataFrame, seed: int = 0, **columns) -> DataFrame:
-    """The mixed rows themselves: a document once or twice, or not at all, as
-    its taken words round to whole copies (a document without words stays)."""
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    mixed = mix(df, seed, **columns).withColumn("copies", copies)
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``(row, size, source_size, target, taken)``; ``row`` holds the columns of ``df``."""
+    taken = F.col("full") * F.col("size")
+    for k in range(2):
+        taken = taken + F.col("ranges")[k]["b"] - F.col("ranges")[k]["a"]
+    return _laid(df, seed, id_col, text_col, source_col, shard_words).select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def word_range(c: Column, a: Column, b: Column) -> Column:
+    """The words from place ``a`` to before place ``b`` of a text, with the
+    white space between them as it is."""
+    a, b = a.cast("int"), b.cast("int")
+    rest = F.get(F.split(F.btrim(c, F.lit(SPACES)), SPACE_RUN, a + 1), a)
+    after = F.coalesce(F.get(F.split(rest, SPACE_RUN, b - a + 1), b - a), F.lit(""))
+    return F.rtrim(F.substring(rest, F.lit(1), F.char_length(rest) - F.char_length(after)), F.lit(SPACES))
+
+
+def materialise_mix(
+    df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    """The mixed rows themselves: a document as often as it is taken whole, and
+    a row with the words taken for each range that is a part of it, so the
+    words of a source add up to those that the mix takes (a document without
+    words stays; the other columns of a part are those of its document)."""
+    size = F.col("size")
+    whole = F.struct(F.lit(0).cast("long").alias("a"), size.alias("b"))
+    some = F.concat(F.array_repeat(whole, F.col("full").cast("int")), F.filter("ranges", lambda r: r["b"] > r["a"]))
+    laid = _laid(df, seed, id_col, text_col, source_col, shard_words)
+    parts = laid.select("row", "size", F.explode(F.when(size == 0, F.array(whole)).otherwise(some)).alias("part"))
+    text, a, b = F.col("row")[text_col], F.col("part.a"), F.col("part.b")
+    cut = F.when(b - a == size, text).otherwise(word_range(text, a, b))
+    return parts.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])

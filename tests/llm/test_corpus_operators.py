@@ -300,6 +300,36 @@ def test_mix(docs, none, rows, shard_words):
     assert mixed.columns == docs.columns
 
 
+def plain_words(text):
+    return len(text.encode().split())
+
+
+@pytest.mark.parametrize("shard_words", [250_000, 300])
+def test_copied_words_meet_the_targets(spark, docs, shard_words):
+    long = " ".join(f"w{k}" + (" \n" if k % 7 == 0 else "") for k in range(3_000))
+    some = [(k, f"{k} few words here", "many") for k in range(900)]
+    df = spark.createDataFrame([(-1, long, "one"), (-2, " " + long, "another"), *some], "doc_id long, text string, source string")
+    for table in (df, docs.select("doc_id", "text", "source")):
+        sizes, copied = Counter(), Counter()
+        texts = {r["text"] for r in table.collect()}
+        for r in table.collect():
+            sizes[r["source"]] += plain_words(r["text"] or "")
+        for r in mixing.materialise_mix(table, shard_words=shard_words).collect():
+            copied[r["source"]] += plain_words(r["text"] or "")
+            # A part of a text, with its white space.
+            assert r["text"] in texts or any(r["text"] in t for t in texts if t)
+        want = plain_targets(sizes)
+        for s in want:
+            assert abs(copied[s] - want[s]) <= max(0.02 * want[s], 12), s
+
+
+def test_word_range(spark):
+    text = " one\ttwo  three\n\nfour é.\u2003x "
+    df = spark.createDataFrame([(text, a, b) for a in range(5) for b in range(a + 1, 6)], "t string, a long, b long")
+    for r in df.select("*", mixing.word_range(F.col("t"), F.col("a"), F.col("b")).alias("x")).collect():
+        assert r["x"] in text and r["x"].encode().split() == text.encode().split()[r["a"] : r["b"]]
+
+
 # ---- pipeline -----------------------------------------------------------------
 
 
