@@ -6,9 +6,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kbforge.llm import bpe, mixing, ngram_join, pii, quality
-from kbforge.llm.common import load, prepare
+from kbforge.llm.common import load, prepare, whole_text
 from kbforge.llm.queries import tokenizer
 from kbforge.session import ensure_checkpoint_dir
 
@@ -43,7 +44,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the digest of the decoded bytes."""
     prepare(spark)
     rank_file, pattern = tokenizer()
-    return bpe.encode(docs, rank_file, pattern)
+    decoded = bpe.decode(bpe.encode(docs, rank_file, pattern), rank_file, pattern)
+    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -60,10 +62,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in turn; each stage's rows are written as Parquet in
-    the shared checkpoint folder and read again as the next one's input."""
+    the shared checkpoint folder and read again as the next one's input.  The
+    decoded bytes are compared with the texts, so the rows come without their
+    digest; a text that does not come back is an error."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
-    return docs
+    changed = docs.where(F.col("decoded_sha256") != F.sha2(whole_text().cast("binary"), 256)).count()
+    if changed:
+        raise ValueError(f"{changed} texts differ from the bytes that their token ids decode to")
+    return docs.drop("decoded_sha256")

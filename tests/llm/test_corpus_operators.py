@@ -354,3 +354,23 @@ def test_pipeline(spark, docs, tmp_path):
     for name, stage in p.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == columns, name
+
+
+def test_pipeline_decodes_every_text(spark, docs, none, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    got = p.byte_bpe(spark, docs.select(columns), "")
+    assert got.columns == [*columns, "token_ids", "decoded_sha256"]
+    got = got.collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    assert p.byte_bpe(spark, none.select(columns), "").count() == 0
+    # Ids that lose a token do not pass.
+    docs.select(columns).write.parquet(str(tmp_path / "documents.parquet"))
+    encode = p.bpe.encode
+    monkeypatch.setattr(p.bpe, "encode", lambda *a: encode(*a).withColumn("token_ids", F.expr("slice(token_ids, 2, size(token_ids))")))
+    monkeypatch.setattr(p, "STAGES", p.STAGES[-1:])
+    with pytest.raises(ValueError, match="decode"):
+        p.run(spark, str(tmp_path))
