@@ -177,6 +177,21 @@ def test_scores(docs, none, rows):
     assert maxent.score(none).count() == 0
 
 
+def test_every_training_text_gives_gradients(spark, docs, monkeypatch):
+    seen, inner = [], maxent.gradient
+    monkeypatch.setattr(maxent, "gradient", lambda texts, *a: seen.append(texts.collect()) or inner(texts, *a))
+    same = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    other = docs.select(F.lit(1).cast("long").alias("doc_id"), "text")
+    a = sorted(r["score"] for r in maxent.score(same).collect())
+    b = sorted(r["score"] for r in maxent.score(other).collect())
+    want = Counter(r["text"] or "" for r in docs.collect())
+    for texts in seen:
+        assert Counter(r["text"] for r in texts) == want
+    assert len(seen) == 2 * maxent.ROUNDS
+    # Ids do not decide what is learned.
+    assert all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip(a, b, strict=True))
+
+
 def test_class_probabilities_sum_to_one():
     import numpy as np
 
