@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbforge.llm import bpe, chat, maxent, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
-from kbforge.llm.common import load
+from kbforge.llm import align, bpe, chat, codes, lines, maxent, mixing, ngram_join, pii, quality, repeats, sharding, vector_graph
+from kbforge.llm.common import load, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,7 +52,8 @@ def _quality_sql() -> str:
         bad += [f"{value} < {low}"] * (low is not None) + [f"{value} > {high}"] * (high is not None)
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '{space}+'), lambda x: x <> '') AS w,
-             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS k FROM w, range(1, len(w) - 6) g(i)),
 again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS c FROM win) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT i + j) AS n FROM again, range(0, 8) g(j) GROUP BY r),
@@ -150,3 +151,41 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = chat.styled(load(spark, sf_dir, "conversations"))
     learned = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 10 != 0, F.lit(True))
     return chat.parse(said.select("conv_id", "turn", "text"), chat.fit(said.where(learned)))
+
+
+@register("op11_vector_codes")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector, errors by label, codebooks' digest."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return codes.report(*codes.compress(vectors))
+
+
+_LINE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+often AS (SELECT key FROM k WHERE length(key) >= {lines.MIN_CHARS} GROUP BY key HAVING count(DISTINCT r) >= {lines.MIN_DOCS}),
+j AS (SELECT k.*, often.key IS NOT NULL AS lost FROM k LEFT JOIN often USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(lost::INT) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM j GROUP BY r"""
+
+
+@register("op12_line_dedup", _LINE_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that many documents hold."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.report(docs, lines.keep_bitmaps(docs))
+
+
+A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    import public_tokenizers
+
+    files = public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.link_counts(stored(align.align(docs, *files, public_tokenizers.PATTERN)), align.vocabulary_size(files[1]))
