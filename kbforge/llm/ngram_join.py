@@ -16,6 +16,9 @@
    components of all links are found by star operations.  Groups are compared
    in two steps, first within themselves and by one set each, so that groups of
    near-copies that are joined by then need not be opened for each other.
+   In both steps groups that are candidates of one hub, the smallest group
+   that they are paired with, travel together as one pack of bounded size, so a
+   set is sent once to each pack and not once to each group of a large cluster.
 
 No pair is lost: the order is the same for all sets whichever shingles are
 held to be frequent, and groups are compared member by member.
@@ -230,6 +233,21 @@ def _open(percent: int, width: int):
     return run
 
 
+def _packed(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Pairs of packs for the pairs of groups ``pairs(low, high)``: rows
+    ``(low, high, pack, group)`` of the groups that take part in a pair of
+    packs.  ``weights(group, shingles)`` bounds a pack."""
+    turned = pairs.select(F.col("high").alias("low"), F.col("low").alias("high"))
+    hub = pairs.unionByName(turned).groupBy(F.col("low").alias("group")).agg(F.min("high").alias("other"))
+    hub = hub.select("group", F.least("group", "other").alias("hub")).join(weights, "group")
+    parts = hub.groupBy("hub").agg(F.ceil(F.sum("shingles") / GROUP_SHINGLES).alias("parts"))
+    packs = stored(hub.join(parts, "hub").select("group", F.xxhash64("hub", F.pmod(F.xxhash64("group"), F.col("parts"))).alias("pack")))
+    one, two = (packs.select(F.col("group").alias(g), F.col("pack").alias(f"pack{k}")) for k, g in enumerate(("low", "high")))
+    both = pairs.join(one, "low").join(two, "high")
+    end = F.explode(F.array(F.struct(F.col("pack0").alias("pack"), F.col("low").alias("group")), F.struct(F.col("pack1").alias("pack"), F.col("high").alias("group"))))
+    return both.select(F.least("pack0", "pack1").alias("low"), F.greatest("pack0", "pack1").alias("high"), end.alias("end")).select("low", "high", "end.*").distinct()
+
+
 def _links(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``(u, v)`` between the sets that meet in a pair of groups
     (``needed(low, high, group, key)``).
@@ -268,7 +286,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
             F.max("n").alias("n"), F.max("group").alias("group"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "t")).alias("one")
         )
     )
-    sizes = classes.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"))
+    sizes = classes.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     matrix = grouped.select("group", F.explode("prefix").alias("token")).repartition("token").distinct()
     other = matrix.select("token", F.col("group").alias("other"))
     shared = matrix.join(other, "token").where(F.col("group") < F.col("other")).groupBy("group", "other").agg(F.count(F.lit(1)).alias("shared"))
@@ -282,9 +300,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     between = stored(between)
     # First inside the groups, and one set of each group of a pair.
     first = classes.groupBy("group").agg(F.min("key").alias("key"))
-    ends = F.explode(F.array("low", "high")).alias("group")
     inside = classes.join(sizes.where("members > 1").select("group"), "group").select(F.col("group").alias("low"), F.col("group").alias("high"), "group", "key")
-    firsts = between.select("low", "high", ends).join(first, "group").select("low", "high", "group", "key")
+    firsts = _packed(between, sizes.select("group", F.col("high").alias("shingles"))).join(first, "group").select("low", "high", F.col("pack").alias("group"), "key")
     links = stored(_links(docs, classes, inside.unionByName(firsts), width, percent))
     roots = components(links)
     # A pair is settled if each group had one set, or all sets of both are in
@@ -296,8 +313,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     settled = (F.col("members0") + F.col("members1") == 2) | ((F.col("least0") == F.col("most1")) & (F.col("least1") == F.col("most0")))
     rest = stored(between.join(one, "low").join(two, "high").where(~settled).select("low", "high"))
     if not rest.isEmpty():
-        needed = rest.select("low", "high", ends).join(classes.select("group", "key"), "group").select("low", "high", "group", "key")
-        more = _links(docs, classes, stored(needed), width, percent)
+        packs = _packed(rest, sizes.select("group", "shingles"))
+        needed = packs.join(classes.select("group", "key"), "group").select("low", "high", F.col("pack").alias("group"), "key")
+        more = _links(docs, classes, needed, width, percent)
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     named = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
