@@ -359,11 +359,14 @@ def link_counts(aligned: DataFrame, b_vocabulary: int, frequent: int = FREQUENT)
     rare = looked.where(F.size("pairs") > 0).select("key", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("key", "p.pairs", "p.times").distinct()
     rare = rare.withColumnRenamed("pairs", "pair").join(counts.where(~often), "pair")
     more = rare.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"))
-    both = looked.drop("pairs", "times").join(more, "key", "left")
-    return both.select(
+    # Texts of many copies have no rare pairs, so their rows stay out of the join.
+    whole = looked.where(F.size("pairs") == 0).select("doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256")
+    both = looked.where(F.size("pairs") > 0).drop("pairs", "times").join(more, "key")
+    both = both.select(
         "doc_id",
         *NUMBERS,
-        (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
-        (F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).alias("count_sum"),
+        (F.col("n_best") + F.col("more_best")).alias("n_best"),
+        (F.col("count_sum") + F.col("more_sum")).alias("count_sum"),
         "groups_sha256",
     )
+    return whole.unionByName(both)
