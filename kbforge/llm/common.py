@@ -33,6 +33,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbforge.llm.common import SPACES, stored, whole_text
+from kbforge.llm.common import SPACES, quoted, stored, whole_row, whole_text
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _STRIP = SPACES.encode()
@@ -249,9 +249,8 @@ def _kept(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 def _applied(df: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row, n_lines, n_dropped, kept)``: the row and its text's kept lines."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     key = document_key(id_col, text_col)
-    rows = df.select(row, key["a"].alias("ka"), key["b"].alias("kb"), whole_text(text_col).alias("text"), _n_lines(text_col).alias("lines"))
+    rows = df.select(whole_row(df), key["a"].alias("ka"), key["b"].alias("kb"), whole_text(text_col).alias("text"), _n_lines(text_col).alias("lines"))
     both = rows.join(bitmaps.select("ka", "kb", "n_dropped", "keep"), ["ka", "kb"], "left")
     kept = F.when(F.col("keep").isNull(), F.col("text")).otherwise(_kept("text", "keep"))
     return both.select("row", F.col("lines").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), kept.alias("kept"))
@@ -260,10 +259,10 @@ def _applied(df: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> D
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the kept lines of each text (joined by line feeds) in its place."""
     out = _applied(df, bitmaps, id_col, text_col)
-    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("row." + quoted(c)).alias(c) for c in df.columns])
 
 
 def report(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines, dropped lines and the digest of what stays, per document."""
     out = _applied(df, bitmaps, id_col, text_col)
-    return out.select(F.col(f"row.`{id_col}`").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select(F.col("row." + quoted(id_col)).alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbforge.llm.common import stored, whole_text
+from kbforge.llm.common import stored, whole_row, whole_text
 from kbforge.llm.components import components
 from kbforge.llm.shingles import mix, shingle_sets
 from kbforge.session import broadcast_if_small
@@ -334,7 +334,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     best = member.groupBy("root").agg(F.min("who").alias("best"))
     lost = stored(member.join(best, "root").where(F.col("who") != F.col("best")).select("who").distinct())
     twice = stored(member.groupBy("who").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("who"))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    row = whole_row(df)
     who = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("t")).alias("who")
     rows = df.select(row, who).join(broadcast_if_small(lost, BROADCAST_ROWS), "who", "left_anti")
     if twice.isEmpty():

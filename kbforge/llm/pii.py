@@ -6,7 +6,8 @@ bipartite graph of patterns and instances: a pattern is as reliable as the
 share of its distinct instances that are known to be of one kind, an instance
 is as likely as its patterns together say, round after round.  Instances the
 grammars missed (an obfuscated address, a number without its plus sign) that
-score high enough become entities of the kind their contexts speak for.
+score high enough become entities of the kind their contexts speak for, and seeds of
+the next round, until a round finds no more.
 
 The first pass over the texts writes a narrow table: one row per document with
 its base spans and its candidates, offsets and context patterns, but no text.
@@ -26,13 +27,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kbforge.llm.common import stored, text_key, whole_text
+from kbforge.llm.common import SPACES, drop_stored, quoted, stored, text_key, whole_row, whole_text
 from kbforge.session import broadcast_if_small
 
 KINDS = ("email", "ip", "card", "phone")
 
-ROUNDS = 3
 #: Distinct known instances that a pattern needs, and the score that it and an
 #: added instance need.
 MIN_SUPPORT = 3.0
@@ -45,14 +46,18 @@ BROADCAST_ROWS = 50_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _DIGITS = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # What an identifier that the grammars miss can look like: a run of digits in
-# groups, or a word with an at sign, spelled or not.
+# groups, a word with an at sign, or an address spelled in several words.
 _NUMBER = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}")
-_HANDLE = re.compile(r"[^\x20\x09-\x0D]*(?:@|\(at\)|\[at\]|\{at\})[^\x20\x09-\x0D]*", re.IGNORECASE)
+_AT = re.compile(r"@|\(at\)|\[at\]|\{at\}", re.IGNORECASE)
+_SPELLED_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}| at ) ?", re.IGNORECASE)
+# Labels of a domain have 63 characters at most.
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _EDGE = "\"'()[]{}<>,;:.!?"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -118,21 +123,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, start, end) for kind, spans in found for start, end in spans]
 
 
+def _handles(text: str) -> Iterator[tuple[int, int]]:
+    """Words that hold an at sign: from each sign outwards to white space, no
+    further back than the last word's end, so each character is seen once."""
+    free, m = 0, _AT.search(text)
+    while m:
+        start = m.start()
+        while start > free and text[start - 1] not in SPACES:
+            start -= 1
+        stop = _SPACE.search(text, m.end())
+        free = stop.start() if stop else len(text)
+        yield start, free
+        m = _AT.search(text, free)
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses like ``jo [at] example [dot] com`` and ``jo at example dot com``."""
+    free = 0
+    for m in _SPELLED_AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        free = domain.end() if domain else m.start()
+        if domain:
+            yield start, domain.end()
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """Identifier-like runs that overlap no base span and no other candidate."""
     used = sorted((s, e) for _, s, e in taken)
     found: list[tuple[int, int]] = []
-    for pattern in (_HANDLE, _NUMBER):
-        for m in pattern.finditer(text):
-            start, end = m.span()
-            while start < end and text[start] in _EDGE and not (pattern is _NUMBER and text[start] == "("):
+    numbers = (m.span() for m in _NUMBER.finditer(text))
+    for edge, spans in ((_EDGE, _spelled(text)), (_EDGE, _handles(text)), (_EDGE.replace("(", ""), numbers)):
+        for start, end in spans:
+            while start < end and text[start] in edge:
                 start += 1
             while start < end and text[end - 1] in _EDGE:
                 end -= 1
             if end - start >= 5:
                 found.append((start, end))
     i, free = 0, 0
-    for start, end in sorted(found):
+    for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
         while i < len(used) and used[i][1] <= start:
             i += 1
         if start >= free and not (i < len(used) and used[i][0] < end):
@@ -183,48 +215,60 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, key, spans, seen)`` of each row, without its text."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("doc_id"), text_key(whole_text(text_col)).alias("key"), whole_text(text_col).alias("text"))
+def scan(df: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, key, spans, seen)`` of each row, without its text.  Without
+    ``id_col`` the ids are null."""
+    doc_id = F.col(id_col) if id_col else F.lit(None).cast("long")
+    kind = df.select(doc_id.alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    rows = df.select(doc_id.alias("doc_id"), text_key(whole_text(text_col)).alias("key"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(_scan, f"doc_id {kind}, key struct<a:long,b:long>, spans array<{SPAN}>, seen array<{CANDIDATE}>")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(scanned: DataFrame) -> DataFrame:
     """``(key, kind, start, end)`` of the entities that contexts reveal.
 
     Copies of a text and repeated values count once: the graph is over
-    distinct (pattern, instance) pairs.
+    distinct (pattern, instance) pairs.  Entities found stay found, so the
+    rounds end: the last one finds none.
     """
     # The same value can stand in a seed and in a candidate; each is a node.
     seen = scanned.select("key", F.explode("seen").alias("s")).select("key", "s.*").distinct()
     edges = stored(seen.select(F.explode("patterns").alias("pattern"), "instance", F.coalesce("kind", F.lit("?")).alias("seed")).distinct())
-    score = edges.where("seed != '?'").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    open_edges = edges.where("seed = '?'").select("pattern", "instance")
     # A pattern is judged over all its distinct instances, known or not.
     width = edges.groupBy("pattern").agg(F.count_distinct("instance", "seed").alias("width"))
-    likely = None
-    for _ in range(rounds):
-        known = edges.where("seed != '?'").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-        if likely is not None:
-            known = known.unionByName(edges.where("seed = '?'").join(likely, "instance").select("pattern", "kind", "score"))
+    seeds = edges.where("seed != '?'").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    good, likely = None, None
+    while True:
+        known = seeds if likely is None else seeds.unionByName(open_edges.join(likely, "instance").select("pattern", "kind", "score"))
         patterns = (
             known.groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("support"), F.count(F.lit(1)).alias("n"))
+            .agg(F.sum("score").alias("support"))
             .join(width, "pattern")
             .select("pattern", "kind", "support", (F.col("support") / F.col("width")).alias("conf"))
             .where((F.col("support") >= MIN_SUPPORT) & (F.col("conf") >= MIN_PATTERN))
         )
-        likely = stored(
-            edges.where("seed = '?'")
-            .join(patterns, "pattern")
+        scored = (
+            open_edges.join(patterns, "pattern")
             .groupBy("instance", "kind")
             .agg((1.0 - F.exp(F.sum(F.log(F.greatest(1.0 - F.col("conf"), F.lit(1e-6)))))).alias("score"))
             .groupBy("instance")
             .agg(F.max(F.struct("score", "kind")).alias("best"))
             .select("instance", "best.kind", "best.score")
         )
-    good = likely.where(F.col("score") >= MIN_INSTANCE).select("instance", F.col("kind").alias("found"))
-    return seen.where(F.col("kind").isNull()).join(good, "instance").select("key", F.col("found").alias("kind"), "start", "end")
+        if good is not None:
+            old = good.select("instance", "kind", F.lit(1.0).alias("score"))
+            scored = scored.join(good.select("instance"), "instance", "left_anti").unionByName(old)
+        last, likely = likely, stored(scored)
+        more = likely.where(F.col("score") >= MIN_INSTANCE)
+        n_before, n_now = 0 if good is None else good.count(), more.count()
+        if last is not None:
+            drop_stored(last)
+        good = more.select("instance", "kind")
+        if n_now == n_before:
+            break
+    found = good.select("instance", F.col("kind").alias("found"))
+    return seen.where(F.col("kind").isNull()).join(found, "instance").select("key", F.col("found").alias("kind"), "start", "end")
 
 
 def _order(kind: Column) -> Column:
@@ -262,12 +306,10 @@ def report(found: DataFrame) -> DataFrame:
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span of its texts replaced by ``[EMAIL]`` and the like
     (where spans of two kinds overlap, by the first one's mark)."""
-    id_col = next(c for c in df.columns if c != text_col)
-    added = bootstrap(stored(scan(df, id_col, text_col))).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(row.alias("row"), text_key(whole_text(text_col)).alias("key"), F.col(text_col).alias("text"))
+    added = bootstrap(stored(scan(df, None, text_col))).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    rows = df.select(whole_row(df), text_key(whole_text(text_col)).alias("key"), F.col(text_col).alias("text"))
     rows = rows.join(broadcast_if_small(stored(added), BROADCAST_ROWS), "key", "left").select("row", "text", "added")
-    kind = rows.schema["row"].dataType
+    shape = T.StructType([rows.schema["row"], T.StructField("clean", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,5 +327,5 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "clean"])
 
-    clean = rows.mapInArrow(run, f"row {kind.simpleString()}, clean string")
-    return clean.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    clean = rows.mapInArrow(run, shape)
+    return clean.select(*[F.col("clean").alias(c) if c == text_col else F.col("row." + quoted(c)).alias(c) for c in df.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -86,6 +87,37 @@ def test_redact_keeps_rows_and_columns(docs, none):
     assert pii.redact(none).count() == 0
 
 
+def test_candidates_of_long_words_take_linear_time():
+    for unit in ("a", "1", "@", "a@", "[at]", " at ", "1.", "+1 ", "a.", "x at y dot "):
+        text = unit * (1_000_000 // len(unit))
+        begun = time.perf_counter()
+        spans = pii.base_spans(text)
+        list(pii.candidates(text, spans))
+        assert time.perf_counter() - begun < 10, unit
+
+
+def test_spelled_addresses_and_rounds_to_a_fixed_point(spark):
+    texts = [f"{w} please write to the clerk jo{k}@mail{k}.example.com before noon" for k, w in enumerate("abcdefgh")]
+    # Found in the first round; their other context speaks for the last ones.
+    bridge = [f"please write to the clerk ann{k} [at] host{k} [dot] org before noon" for k in range(5)]
+    bridge += [f"{w} the new desk answers under ann{k} [at] host{k} [dot] org all day" for k, w in enumerate("vwxyz")]
+    last = ["q the new desk answers under bob at farm dot example dot net all day"]
+    df = spark.createDataFrame(list(enumerate(texts + bridge + last)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.extract(df)).collect()}
+    for k, t in enumerate(texts + bridge + last):
+        assert len(got[k].split(",")) == 1 and got[k].startswith("email:"), t
+    start, end = map(int, got[len(texts + bridge)].split(":")[1:])
+    assert last[0][start:end] == "bob at farm dot example dot net"
+
+
+def test_redact_takes_any_columns(spark):
+    text = "Mail jo@mail.example.com now"
+    odd = spark.createDataFrame([(1, text, 2.0, None)], "`a b` int, text string, `a.b` double, `c``d` string")
+    out = pii.redact(odd)
+    assert out.columns == odd.columns and out.first()["text"] == "Mail [EMAIL] now"
+    assert pii.redact(odd.select("text")).first()["text"] == "Mail [EMAIL] now"
+
+
 # ---- 2: quality rules ---------------------------------------------------------
 
 
