@@ -15,10 +15,9 @@ from kbforge.operators.evaluation import (
     shared_shingle_pairs,
     top_bottom,
 )
-from kbforge.operators.retrieval import lexical_topk
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
-from kbforge.plans.search_queries import units_of
+from kbforge.plans.search_queries import lexical, units_of
 from kbforge.session import materialize
 
 RUN_TIMESTAMP = "2024-01-01T00:00:00"
@@ -173,7 +172,7 @@ def scored_results(spark, sf_dir, types=("basic",)):
     questions = runs.select(
         F.concat_ws("/", "id", "search_type").alias("query_id"), F.col("question").alias("query")
     )
-    best = lexical_topk(questions, units, k=1).join(units.select("unit_id", F.col("text").alias("response")), "unit_id")
+    best = lexical(questions, spark, sf_dir, k=1).join(units.select("unit_id", F.col("text").alias("response")), "unit_id")
     results = runs.withColumn("result_id", F.concat_ws("/", "id", "search_type")).join(
         best.select(F.col("query_id").alias("result_id"), "response"), "result_id", "left"
     ).withColumn("response", F.coalesce("response", F.lit("")))

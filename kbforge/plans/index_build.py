@@ -2,7 +2,8 @@
 
 Stages: chunk (G1) -> deduplicate units -> mentions (G4) -> entities with
 descriptions and degrees (G5, G9) -> relationships (G6) -> hierarchical
-communities (G7) -> community reports (G8) -> term vectors (G2).
+communities (G7) -> community reports (G8) -> term vectors (G2) -> postings
+(R6).
 
 Tables are written to ``{root}/{name}`` and read back, so later searches
 scan stored, column-pruned parquet instead of replaying the build; the
@@ -31,6 +32,7 @@ from kbforge.operators.graph import (
     mentions,
     relationships,
 )
+from kbforge.operators.postings import load_postings, write_postings
 from kbforge.operators.vectors import unit_vectors
 from kbforge.session import ensure_checkpoint_dir, materialize, spread
 from kbforge.sources.writers import write_vectors
@@ -64,12 +66,17 @@ def default_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kbforge-index/{key}"
 
 
-def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, DataFrame]:
-    """Compute and write every knowledge table under ``root``.  The marker that
-    ``index_for`` looks for goes first and comes back last, so a build that
-    was broken off is never read."""
+def _unmark(spark: SparkSession, root: str) -> None:
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_built")
     marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(marker, True)
+
+
+def build_index(spark: SparkSession, docs: DataFrame, root: str, keep_postings: bool = False) -> dict[str, DataFrame]:
+    """Compute and write every knowledge table under ``root``.  The marker that
+    ``index_for`` looks for goes first and comes back last, so a build that
+    was broken off is never read.  ``keep_postings`` leaves postings of the
+    same documents that are already there."""
+    _unmark(spark, root)
     units = chunk_documents(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
     units.write.mode("overwrite").parquet(f"{root}/text_units")
     units = spark.read.parquet(f"{root}/text_units")
@@ -105,10 +112,32 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str) -> dict[str, Da
     vecs, idf = unit_vectors(units)
     idf.write.mode("overwrite").parquet(f"{root}/idf")
     write_vectors(vecs.select(F.col("owner_id"), F.lit("text_unit").alias("kind"), "vector"), f"{root}/embeddings")
-    spark.createDataFrame([("ok",)], "status string").write.mode("overwrite").json(f"{root}/_built")
+    if not (keep_postings and _exists(spark, f"{root}/postings/_built")):
+        own_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+        _build_postings(spark, units.withColumn("doc_id", own_id), f"{root}/postings")
+    _mark(spark, root)
     return load_index(spark, root)
 
 
+def _mark(spark: SparkSession, root: str) -> None:
+    spark.createDataFrame([("ok",)], "status string").write.mode("overwrite").json(f"{root}/_built")
+
+
+def _build_postings(spark: SparkSession, units: DataFrame, root: str) -> None:
+    _unmark(spark, root)
+    write_postings(units, root)
+    _mark(spark, root)
+
+
+def postings_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The inverted index of a driver data directory's text units, built once
+    per checkpoint folder and reused by every lexical search."""
+    root = f"{default_root(spark, sf_dir)}/postings"
+    if not _exists(spark, f"{root}/_built"):
+        _build_postings(spark, chunk_documents(spread(read_table(spark, sf_dir, "documents"))), root)
+    return load_postings(spark, root)
+
+
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {}
     for name in INDEX_TABLES:
@@ -125,4 +154,4 @@ def index_for(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> dict[s
     root = default_root(spark, sf_dir)
     if not rebuild and _exists(spark, f"{root}/_built"):
         return load_index(spark, root)
-    return build_index(spark, spread(read_table(spark, sf_dir, "documents")), root)
+    return build_index(spark, spread(read_table(spark, sf_dir, "documents")), root, keep_postings=not rebuild)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbforge.operators.chunking import chunk_documents
-from kbforge.operators.retrieval import attribute_sources, lexical_topk, pack_context, phrase_search
+from kbforge.operators.postings import postings_topk
+from kbforge.operators.retrieval import attribute_sources, pack_context, phrase_search
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
 
@@ -19,6 +20,13 @@ def q_chunk_documents(spark, sf_dir):
     return units_of(spark, sf_dir)
 
 
+def lexical(queries, spark, sf_dir, k, carry=()):
+    """Basic search (R6) over the stored postings of the units."""
+    from kbforge.plans.index_build import postings_for
+
+    return postings_topk(queries, postings_for(spark, sf_dir), k=k, carry=carry)
+
+
 def _benchmark_questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
@@ -30,7 +38,7 @@ def _benchmark_questions(spark, sf_dir):
     "WITH" + S.units_cte() + S.lexical_cte(3) + "\nSELECT * FROM lex",
 )
 def q_lexical_topk(spark, sf_dir):
-    return lexical_topk(_benchmark_questions(spark, sf_dir), units_of(spark, sf_dir), k=3)
+    return lexical(_benchmark_questions(spark, sf_dir), spark, sf_dir, k=3)
 
 
 @register(
@@ -50,9 +58,8 @@ def q_phrase_search(spark, sf_dir):
 def search_evidence(spark, sf_dir, k: int = 10, budget: int = 8000):
     """Flagship: lexical top-k units per benchmark question, packed into an
     8000-token context and attributed to their source."""
-    units = units_of(spark, sf_dir)
-    # unit attributes ride along with the match: no second pass over the units
-    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=k, carry=("n_tokens", "doc_id"))
+    # attributes come from the index: no pass over the units' text
+    hits = lexical(_benchmark_questions(spark, sf_dir), spark, sf_dir, k, carry=("n_tokens", "doc_id"))
     packed = pack_context(hits, budget=budget)
     return packed.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
 
@@ -123,9 +130,9 @@ def _index(spark, sf_dir):
     return index_for(spark, sf_dir)
 
 
-def _basic(units):
+def _basic(spark, sf_dir):
     def run(q):
-        return lexical_topk(q, units, k=3).select(
+        return lexical(q, spark, sf_dir, k=3).select(
             "query_id", F.lit("unit").alias("kind"), F.col("unit_id").alias("item_id"), "score"
         )
 
@@ -163,7 +170,7 @@ def q_route_requests(spark, sf_dir):
 
     ix = _index(spark, sf_dir)
     valid = validate_requests(requests_of(spark, sf_dir))
-    return route(valid, {"global": _global(ix), "local": _local(ix), "basic": _basic(ix["text_units"])})
+    return route(valid, {"global": _global(ix), "local": _local(ix), "basic": _basic(spark, sf_dir)})
 
 
 def _benchmark_q(spark, sf_dir):
@@ -227,8 +234,7 @@ FROM lex JOIN units u USING (unit_id) JOIN documents d ON d.doc_id = u.doc_id"""
 )
 def q_source_attribution(spark, sf_dir):
     """Each hit attributed to its document's source and language."""
-    units = units_of(spark, sf_dir)
-    hits = lexical_topk(_benchmark_questions(spark, sf_dir), units, k=3, carry=("doc_id",))
+    hits = lexical(_benchmark_questions(spark, sf_dir), spark, sf_dir, k=3, carry=("doc_id",))
     return attribute_sources(
         hits.select("query_id", "unit_id", "rank", "doc_id"), None, table(spark, sf_dir, "documents"), doc_cols=("source", "lang")
     )
@@ -257,7 +263,7 @@ def q_dedupe_requests(spark, sf_dir):
     req = requests_of(spark, sf_dir)
     both = req.unionByName(req.withColumn("request_id", F.col("request_id") + 50000))
     distinct, mapping = dedupe_requests(both)
-    hits = lexical_topk(distinct.select("query_id", "query"), units_of(spark, sf_dir), k=3)
+    hits = lexical(distinct.select("query_id", "query"), spark, sf_dir, k=3)
     return mapping.join(hits, "query_id").select("request_id", "query_id", "unit_id", "rank")
 
 
