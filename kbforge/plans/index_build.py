@@ -33,6 +33,7 @@ from kbforge.operators.graph import (
     relationships,
 )
 from kbforge.operators.postings import load_postings, write_postings
+from kbforge.operators.vector_index import load_vector_index, write_vector_index
 from kbforge.operators.vectors import unit_vectors
 from kbforge.session import ensure_checkpoint_dir, materialize, spread
 from kbforge.sources.writers import write_vectors
@@ -155,3 +156,16 @@ def index_for(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> dict[s
     if not rebuild and _exists(spark, f"{root}/_built"):
         return load_index(spark, root)
     return build_index(spark, spread(read_table(spark, sf_dir, "documents")), root, keep_postings=not rebuild)
+
+
+def vector_index_for(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame]:
+    """The approximate index over the unit vectors of a driver data directory
+    and the corpus IDF, built once per checkpoint folder."""
+    root = f"{default_root(spark, sf_dir)}/vector-index"
+    if not _exists(spark, f"{root}/_built"):
+        _unmark(spark, root)
+        vectors, idf = unit_vectors(chunk_documents(spread(read_table(spark, sf_dir, "documents"))))
+        idf.write.mode("overwrite").parquet(f"{root}/idf")
+        write_vector_index(vectors, root, item_id="owner_id")
+        _mark(spark, root)
+    return load_vector_index(spark, root), spark.read.parquet(f"{root}/idf")

@@ -329,6 +329,19 @@ def q_vector_search(spark, sf_dir):
     )
 
 
+@register("vector_search_approx")
+def q_vector_search_approx(spark, sf_dir):
+    """The questions of ``vector_search`` answered from the stored hash
+    index (approximate; recall is measured when the index is written)."""
+    from kbforge.operators.vector_index import search
+    from kbforge.operators.vectors import embed_with_idf
+    from kbforge.plans.index_build import vector_index_for
+
+    index, idf = vector_index_for(spark, sf_dir)
+    asked = embed_with_idf(_benchmark_questions(spark, sf_dir), idf).withColumnRenamed("owner_id", "query_id")
+    return search(asked, index, k=10).withColumnRenamed("item_id", "unit_id")
+
+
 @register("knowledge_counts")
 def q_knowledge_counts(spark, sf_dir):
     """The knowledge tables loaded (explicit schemas) and counted."""
