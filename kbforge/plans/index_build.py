@@ -72,10 +72,11 @@ def _unmark(spark: SparkSession, root: str) -> None:
     marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(marker, True)
 
 
-def build_index(spark: SparkSession, docs: DataFrame, root: str, keep_postings: bool = False) -> dict[str, DataFrame]:
+def build_index(spark: SparkSession, docs: DataFrame, root: str, keep_postings: bool = False, name_filter: dict = NAME_FILTER) -> dict[str, DataFrame]:
     """Compute and write every knowledge table under ``root``.  The marker that
     ``index_for`` looks for goes first and comes back last, so a build that
-    was broken off is never read.  ``keep_postings`` leaves postings of the
+    was broken off is never read.  ``name_filter={}`` indexes every name;
+    ``keep_postings`` leaves postings of the
     same documents that are already there."""
     _unmark(spark, root)
     units = chunk_documents(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -84,7 +85,7 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str, keep_postings:
 
     deduped = dedupe_units(units)
     ments = materialize(mentions(deduped))
-    ents = entity_stats(ments, **NAME_FILTER)
+    ents = entity_stats(ments, **name_filter)
     adm = admitted_mentions(ments, ents)
     # Found once per text, kept for every unit that holds the text.
     per_text = adm.groupBy(F.col("name").alias("entity_id"), F.col("unit_id").alias("first_id")).agg(
