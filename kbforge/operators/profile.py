@@ -3,11 +3,12 @@
 The reference writes these texts for small HTML tables held in pandas.  For
 a DataFrame of any size the same texts are built from bounded pieces:
 
-* shape and per-column distinct counts from one aggregate over an unpivoted
-  ``(column, value)`` view (one shuffle for all columns, partial steps);
 * "categories" (columns with at most 5 distinct values and more than 3
-  rows): the first 3 values in key order, from a per-(column, value)
-  ``min(key)`` and a top-3 per column;
+  rows): the first 3 values in key order.  Whether a column has so few values
+  is a bounded aggregate: a task keeps up to five values of each column with
+  their least key, gives a column up at the sixth, and returns that state; the
+  states are merged, so a wide table shuffles a few rows a column and task
+  whatever its columns hold;
 * the example row, the first 10 narrative rows and the at most 20 markdown
   rows from ``orderBy(key).limit(n)`` (take-ordered: each task keeps n).
 
@@ -16,6 +17,10 @@ a DataFrame of any size the same texts are built from bounded pieces:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +28,7 @@ from pyspark.sql import types as T
 from kbforge.operators.common import top_k_per_group
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+FEW_VALUES = 5
 NARRATIVE_ROWS = 10
 MARKDOWN_ROWS = 20
 
@@ -31,16 +37,56 @@ def _as_text(df: DataFrame) -> list:
     return [F.col(c).cast("string").alias(c) for c in df.columns]
 
 
+def _few_values(n_columns: int, most: int):
+    """The bounded state of a task: ``(ci, v, first_k, many)`` with up to
+    ``most`` values of each column, or one row with ``many``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict | None] = [{} for _ in range(n_columns)]
+        kind = None
+        for batch in batches:
+            keys = batch.column(0)
+            kind = keys.type
+            for i, values in enumerate(held):
+                if values is None:
+                    continue
+                column = batch.column(i + 1)
+                found = column.unique().to_pylist()
+                if len({*values, *found} - {None}) > most:
+                    held[i] = None
+                    continue
+                for v in found:
+                    at = keys.filter(pc.is_null(column) if v is None else pc.fill_null(pc.equal(column, v), False))
+                    seen = [k for k in (values.get(v), pc.min_max(at)["min"].as_py()) if k is not None]
+                    values[v] = min(seen, default=None)
+        if kind is not None:
+            rows = [(i, v, k, False) for i, values in enumerate(held) if values is not None for v, k in values.items()]
+            rows += [(i, None, None, True) for i, values in enumerate(held) if values is None]
+            ci, v, k, many = zip(*rows, strict=True)
+            columns = [pa.array(ci, pa.int32()), pa.array(v, pa.string()), pa.array(k, kind), pa.array(many, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["ci", "v", "first_k", "many"])
+
+    return run
+
+
+def few_values(df: DataFrame, key: str, most: int = FEW_VALUES) -> DataFrame:
+    """``(ci, v, first_k)``: the values, as text, of the columns that have at
+    most ``most`` of them (null not counted), with the least key of each."""
+    texts = df.select(F.col(key).alias("_k"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(df.columns)])
+    kind = df.schema[key].dataType.simpleString()
+    states = texts.mapInArrow(_few_values(len(df.columns), most), f"ci int, v string, first_k {kind}, many boolean")
+    merged = states.groupBy("ci", "v", "many").agg(F.min("first_k").alias("first_k"))
+    width = merged.groupBy("ci").agg(F.count("v").alias("values"), F.max("many").alias("many"))
+    few = width.where(~F.col("many") & (F.col("values") <= most)).select("ci")
+    return merged.join(few, "ci", "left_semi").select("ci", "v", "first_k")
+
+
 def table_profile(df: DataFrame, key: str, name: str) -> DataFrame:
     """One row ``(table, summary)``."""
     cols = df.columns
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     n = df.agg(F.count(F.lit(1)).alias("n"))
-    long = df.select(
-        F.col(key).alias("_k"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("x"),
-    ).select("_k", "x.ci", "x.v")
-    per_value = long.groupBy("ci", "v").agg(F.min("_k").alias("first_k"))
+    per_value = few_values(df, key)
     nunique = per_value.groupBy("ci").agg(F.count("v").alias("nunique"))
     first3 = top_k_per_group(
         per_value, ["ci"], [F.col("v").isNull().asc(), F.asc("first_k")], 3, rank_col="r"
