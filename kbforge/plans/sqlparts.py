@@ -6,6 +6,11 @@ RE2 and java.util.regex differ; DuckDB needs the ``'g'`` flag to replace
 every match, as Spark does.
 """
 
+import re
+
+from kbforge.functions.cleaning import MARKDOWN_RULES, STRUCTURED_RULES
+from kbforge.functions.evaluation import SCHEME_KEYWORDS
+from kbforge.functions.html import ENTITIES
 from kbforge.functions.text import WS_CLASS, WS_CODES
 
 WS_SQL = "(" + " || ".join(f"chr({c})" for c in WS_CODES) + ")"
@@ -60,10 +65,7 @@ lex AS (SELECT query_id, unit_id, matched, score, CAST(rank AS INTEGER) AS rank
 
 # ---- evaluation (E1-E6) ----------------------------------------------------
 
-KEYWORDS_SQL = (
-    "['First Home Scheme', 'Help to Buy', 'Local Authority', 'HAP', 'RAS', 'Cost Rental', "
-    "'Vacant Property', 'Affordable Purchase', 'Enhanced', 'Dublin', 'Cork', 'Galway', 'fresh start']"
-)
+KEYWORDS_SQL = "[" + ", ".join(f"'{k}'" for k in SCHEME_KEYWORDS) + "]"
 
 
 def number_set(c: str) -> str:
@@ -146,13 +148,10 @@ def shingles(toks: str, n: int = 8) -> str:
 # ---- ingestion (P1-P7, P13) --------------------------------------------------
 
 NL = "chr(10)"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-
 def decode_entities(c: str) -> str:
     out = c
     for ent, ch in ENTITIES:
-        out = f"replace({out}, '{ent}', '{ch}')"
+        out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
     return out
 
 
@@ -201,42 +200,24 @@ def meta_description(h: str) -> str:
     return decode_entities(content)
 
 
-STRUCTURED_RULES_SQL = [
-    (r"(?is)### Cookies used by Google Analytics.*?Close\s*", "''"),
-    (r"(?is)## Cookies on.*?Manage my preferences\s*", "''"),
-    (r"(?i)(accept all cookies|manage cookies|cookie preferences).*?\n", "''"),
-    (r"(?i)(skip to main content|skip navigation).*?\n", "''"),
-    (r"(?is)Allow analytics cookies.*?Close\s*", "''"),
-    (r"(?s)\[Share to Facebook\].*?\[Print This Page\].*?\n", "''"),
-    (r"\[Back to top\].*?\n", "''"),
-    (r"(?m)\n\d+\.\d+\s*$", "''"),
-    (r"(?s)## Manage\s*\nManage preferences\s*$", "''"),
-    (r"\[\s*\n#", "'# '"),
-    (r"\n\s*\n\s*\n", f"{NL} || {NL}"),
-    (r"[ \t]+", "' '"),
-]
-MARKDOWN_RULES_SQL = [
-    (r"(?s)^A notice about cookies.*?Service", "'Service'"),
-    (r"(?s)Manage cookie preferences.*$", "''"),
-    (r"(?s)### Manage cookie preferences.*$", "''"),
-    (r"(?s)Cookie preferences.*?Close\s*$", "''"),
-    (r"\n\s*\n\s*\n", f"{NL} || {NL}"),
-]
+def _literal(text: str) -> str:
+    """A text without quotes as SQL; each line feed as ``chr(10)``."""
+    return " || ".join(NL if part == "\n" else f"'{part}'" for part in re.split("(\n)", text) if part) or "''"
 
 
 def _apply_rules(c: str, rules) -> str:
     out = c
     for pat, repl in rules:
-        out = f"regexp_replace({out}, '{pat}', {repl}, 'g')"
+        out = f"regexp_replace({out}, '{pat}', {_literal(repl)}, 'g')"
     return strip(out)
 
 
 def clean_structured(c: str) -> str:
-    return f"(CASE WHEN coalesce({c}, '') = '' THEN '' ELSE {_apply_rules(c, STRUCTURED_RULES_SQL)} END)"
+    return f"(CASE WHEN coalesce({c}, '') = '' THEN '' ELSE {_apply_rules(c, STRUCTURED_RULES)} END)"
 
 
 def clean_markdown(c: str) -> str:
-    return _apply_rules(c, MARKDOWN_RULES_SQL)
+    return _apply_rules(c, MARKDOWN_RULES)
 
 
 # ---- graph (G3-G9) ------------------------------------------------------------
