@@ -21,6 +21,13 @@ that goes on over the end of a block is returned in parts, the later ones
 marked ``continues`` and without a header; without labelled conversations all
 states are equally likely and markers decide nothing; an empty table gives an
 empty table; extra columns are ignored.
+
+No character of a text is lost but a marker that names the role found, by the
+name that this transcript uses for it.  A transcript uses markers if at least
+half as many of its lines have one as it has messages; its name for a role is
+the most frequent one, the first of ``MARKERS`` on a tie.  Headers that stand
+in a text get a backslash after their ``<``, so no text makes a turn;
+``unescape`` takes it off again.
 """
 
 from __future__ import annotations
@@ -45,6 +52,9 @@ MARKERS = {
     "assistant": "assistant ai a answer bot model agent gpt reply",
 }
 _ROLE_OF = {name: k + 1 for k, role in enumerate(ROLES) for name in MARKERS[role].split()}
+NAMES = list(_ROLE_OF)
+_HEADER = re.compile(r"<(\\*\|(?:" + "|".join(ROLES) + r")\|>)")
+_ESCAPED = re.compile(r"<\\(\\*\|(?:" + "|".join(ROLES) + r")\|>)")
 _MARK = re.compile(r"[\s#*<>\[\]|(-]{0,6}([A-Za-z]{1,12})[\s*\]|)>]{0,4}[:>\]]\s*")
 #: Observation values: marker (none, one per role, another), new message,
 #: length in words (0, up to 8, up to 40, more), question.
@@ -60,6 +70,39 @@ def marker(line: str) -> tuple[int, int]:
     return (role, m.end()) if role else (4, 0)
 
 
+def marker_name(line: str) -> str | None:
+    """The speaker name that a line's marker gives to a role, in lower case."""
+    m = _MARK.match(line)
+    name = m.group(1).lower() if m else None
+    return name if name in _ROLE_OF else None
+
+
+def count_names(lines: list[tuple[int, int, str]]) -> np.ndarray:
+    """How many lines have each of ``NAMES`` as marker, and last how many
+    messages there are."""
+    out = np.zeros(len(NAMES) + 1, np.int64)
+    for _, k, line in lines:
+        name = marker_name(line)
+        out[-1] += k == 0
+        if name:
+            out[NAMES.index(name)] += 1
+    return out
+
+
+def style_names(counts: np.ndarray) -> list[str]:
+    """The marker names that a transcript with these counts uses, at most one a role."""
+    n = counts[:-1]
+    if 2 * n.sum() < counts[-1]:
+        return []
+    out = []
+    for role in range(1, len(ROLES) + 1):
+        own = [j for j, name in enumerate(NAMES) if _ROLE_OF[name] == role]
+        best = max(own, key=lambda j: (n[j], -j))
+        if n[best]:
+            out.append(NAMES[best])
+    return out
+
+
 def observe(line: str, fresh: bool) -> int:
     """The observation of a line as one number."""
     mark, at = marker(line)
@@ -163,8 +206,11 @@ def fit(messages: DataFrame) -> Model:
     role = F.array_position(F.array(*[F.lit(x) for x in ROLES]), F.col("role")).cast("int") - 1
     more = F.greatest(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) - 1, F.lit(0))
     flat = known.select("conv_id", "turn", role.alias("r"), more.alias("more"))
-    after = flat.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("next"))
-    pairs = flat.join(after, ["conv_id", "turn"]).groupBy("r", (F.col("more") > 0).alias("long"), "next").count().collect()
+    # Repeated rows are counted before they meet: at most 6 x 3 rows a turn.
+    here = flat.groupBy("conv_id", "turn", "r", (F.col("more") > 0).alias("long")).agg(F.count(F.lit(1)).alias("n"))
+    after = flat.groupBy("conv_id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("next")).agg(F.count(F.lit(1)).alias("m"))
+    met = here.join(after, ["conv_id", "turn"])
+    pairs = met.groupBy("r", "long", "next").agg(F.sum(F.col("n") * F.col("m")).alias("count")).collect()
     moved = np.zeros((n_states, n_states))
     for r in pairs:
         moved[2 * r["r"] + r["long"], 2 * r["next"]] = r["count"]
@@ -181,15 +227,17 @@ def fit(messages: DataFrame) -> Model:
 def _matrices(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _by_block(batches, ["conv_id", "block"]):
-            seen = [observe(line, k == 0) for _, k, line in _lines(pdf.text.tolist())]
+            lines = list(_lines(pdf.text.tolist()))
+            seen = [observe(line, k == 0) for _, k, line in lines]
             one = pdf[["conv_id", "block"]].iloc[:1]
-            yield one.assign(first=seen[0], matrix=[block_matrix(model.value, seen).ravel()])
+            yield one.assign(first=seen[0], matrix=[block_matrix(model.value, seen).ravel()], marks=[count_names(lines)])
 
     return run
 
 
 def _between(model):
-    """For each block the state before it (-1 at the start) and its last state."""
+    """For each block the state before it (-1 at the start), its last state and
+    the marker names of its transcript."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
@@ -209,7 +257,8 @@ def _between(model):
             for b in reversed(back):
                 end.append(int(b[end[-1]]))
             end = end[::-1]
-            yield pdf[["conv_id", "block"]].assign(before=[-1, *end[:-1]], end=end)
+            names = style_names(np.sum([np.asarray(m, np.int64) for m in pdf.marks], axis=0))
+            yield pdf[["conv_id", "block"]].assign(before=[-1, *end[:-1]], end=end, names=[names] * len(pdf))
 
     return run
 
@@ -221,11 +270,14 @@ def _turns(model):
             before = int(pdf.before.iloc[0])
             path = block_path(model.value, [observe(line, k == 0) for _, k, line in lines], None if before < 0 else before, int(pdf.end.iloc[0]))
             turn = pdf.turn.tolist()
+            names = set(pdf.names.iloc[0])
             parts: list[list] = []
             for (i, k, line), state in zip(lines, path, strict=True):
                 role, goes_on = ROLES[state // 2], bool(state % 2)
                 if not goes_on or not parts:
-                    text = line if goes_on else line[marker(line)[1] :]
+                    text = line
+                    if not goes_on and marker_name(line) in names and marker(line)[0] - 1 == state // 2:
+                        text = line[marker(line)[1] :]
                     parts.append([turn[i], k, role, goes_on, [text]])
                 else:
                     parts[-1][4].append(line)
@@ -247,9 +299,15 @@ def _turns(model):
 
 def render(role: str, text: str, continues: bool = False) -> str:
     """The canonical form of a turn, or of a later part of one."""
+    text = _HEADER.sub(r"<\\\1", text)
     return f"{text}\n" if continues else f"<|{role}|>\n{text}\n"
 
 
+def unescape(text: str) -> str:
+    """The text of a rendered turn as it stood in the transcript."""
+    return _ESCAPED.sub(r"<\1", text)
+
+
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     """``(conv_id, turn, line, role, continues, n_lines, rendered)`` of
     ``transcripts(conv_id, turn, text)``: one row per recovered turn, with the
@@ -260,11 +318,11 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = transcripts.select("conv_id", "turn", "text", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).cast("long").alias("block"))
     blocks = rows.repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text")
-    matrices = blocks.mapInPandas(_matrices(sent), f"conv_id {kinds['conv_id']}, block long, first int, matrix array<double>")
+    matrices = blocks.mapInPandas(_matrices(sent), f"conv_id {kinds['conv_id']}, block long, first int, matrix array<double>, marks array<long>")
     ends = (
         matrices.repartition(parts, "conv_id")
         .sortWithinPartitions("conv_id", "block")
-        .mapInPandas(_between(sent), f"conv_id {kinds['conv_id']}, block long, before int, end int")
+        .mapInPandas(_between(sent), f"conv_id {kinds['conv_id']}, block long, before int, end int, names array<string>")
         .withColumnsRenamed({"conv_id": "c", "block": "b"})
     )
     met = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
