@@ -92,7 +92,12 @@ def page_title(html) -> Column:
     """P5: ``<title>`` then ``<h1>``; the first candidate without an unwanted
     term, or longer than 20 characters, wins; else the first non-empty
     candidate; else ``No title``."""
-    cands = F.array(first_element_text(html, "title"), first_element_text(html, "h1"))
+    return choose_title(first_element_text(html, "title"), first_element_text(html, "h1"))
+
+
+def choose_title(title: Column, heading: Column) -> Column:
+    """P5 over the texts of the title and the first heading."""
+    cands = F.array(title, heading)
     terms = F.array(*[F.lit(t) for t in UNWANTED_TITLE_TERMS])
 
     def acceptable(t):

@@ -64,34 +64,72 @@ class _TreeBuilder(HTMLParser):
         self.root = _Node("#root", None, -1)
         self.stack = [self.root]
         self.elements: list[_Node] = []
+        self.opened: dict[str, int] = {}
+        self.held: list[str] = []
+
+    def flush(self):
+        """Data up to a tag or a comment is one text piece."""
+        if self.held:
+            self.stack[-1].children.append("".join(self.held))
+            self.held = []
+
+    def end_from(self, i):
+        for node in self.stack[i:]:
+            self.opened[node.tag] -= 1
+        del self.stack[i:]
 
     def handle_starttag(self, tag, attrs):
+        self.flush()
         ended, within = IMPLIED_ENDS.get(tag, ((), ""))
         for i in range(len(self.stack) - 1, 0, -1) if ended else ():
             open_tag = self.stack[i].tag
             if open_tag in (within, "table"):
                 break
             if open_tag in ended:
-                del self.stack[i:]
+                self.end_from(i)
         node = _Node(tag, self.stack[-1], len(self.elements))
-        if tag in ("td", "th"):
+        if tag in ("td", "th", "meta"):
             node.attrs = dict(attrs)
         self.stack[-1].children.append(node)
         self.elements.append(node)
         if tag not in VOID_TAGS:
             self.stack.append(node)
+            self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
+        self.flush()
+        # An end tag of nothing that is open does nothing.
+        for i in range(len(self.stack) - 1, 0, -1) if self.opened.get(tag) else ():
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self.end_from(i)
                 return
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
+        self.held.append(data)
+
+    def handle_comment(self, data):
+        self.flush()
+
+    def handle_decl(self, decl):
+        self.flush()
+
+    def handle_pi(self, data):
+        self.flush()
+
+    def close(self):
+        super().close()
+        self.flush()
+
+
+def page_tree(html: str) -> _TreeBuilder:
+    """The element tree of a page, with its elements in document order."""
+    b = _TreeBuilder()
+    b.feed(html)
+    b.close()
+    return b
 
 
-def _walk(node, skip=()):
+def walk(node, skip=()):
     """Text pieces and elements below ``node`` in document order, without a
     call per level (pages can nest deeper than Python's call stack)."""
     todo = list(reversed(node.children))
@@ -102,19 +140,20 @@ def _walk(node, skip=()):
             todo.extend(reversed(ch.children))
 
 
-def _text(node, sep: str = "") -> str:
-    pieces = (ch.strip() for ch in _walk(node) if isinstance(ch, str))
+def element_text(node, sep: str = "", skip=()) -> str:
+    """Stripped text pieces below ``node``, outside the tags in ``skip``."""
+    pieces = (ch.strip() for ch in walk(node, skip) if isinstance(ch, str))
     return sep.join(s for s in pieces if s)
 
 
 def _descendants(node):
-    return (ch for ch in _walk(node) if not isinstance(ch, str))
+    return (ch for ch in walk(node) if not isinstance(ch, str))
 
 
 def _own_rows(table):
     """``tr`` elements of this table, not of a nested one; head rows apart."""
     rows, head = [], []
-    for ch in _walk(table, skip=("table",)):
+    for ch in walk(table, skip=("table",)):
         if not isinstance(ch, str) and ch.tag == "tr":
             up = ch.parent
             while up is not table and up.tag != "thead":
@@ -146,7 +185,7 @@ def _grid(trs) -> list[list[tuple]]:
         later = {}
         for c in _cells(tr):
             carried()
-            cell = (" ".join(_text(c, " ").split()), c.tag == "th")
+            cell = (" ".join(element_text(c, " ").split()), c.tag == "th")
             down = _span(c, "rowspan")
             for _ in range(_span(c, "colspan")):
                 if down > 1:
@@ -188,19 +227,19 @@ def _context(table, elements) -> str:
             break
         prev = elements[idx]
         if prev.tag in HEADINGS:
-            parts.append(f"Section: {_text(prev)}")
+            parts.append(f"Section: {element_text(prev)}")
             break
         if prev.tag == "p":
-            t = _text(prev)
+            t = element_text(prev)
             if len(t) > MIN_PARAGRAPH:
                 parts.append(f"Context: {t}")
                 break
     caption = next((d for d in _descendants(table) if d.tag == "caption"), None)
     if caption is not None:
-        parts.append(f"Caption: {_text(caption)}")
+        parts.append(f"Caption: {element_text(caption)}")
     following = next((e for e in elements[table.order + 1 :] if e.tag == "p"), None)
     if following is not None:
-        t = _text(following)
+        t = element_text(following)
         if len(t) > MIN_PARAGRAPH and "table" in t.lower():
             parts.append(f"Note: {t}")
     return " | ".join(parts) if parts else NO_CONTEXT
@@ -215,10 +254,14 @@ def parse_tables(html: str):
     otherwise columns are numbered.  Spans repeat their cell; repeated column
     names are numbered.
     """
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    tables = [e for e in b.elements if e.tag == "table"]
+    n, found = tables_of(page_tree(html or ""))
+    return [(i, n, *rest) for i, *rest in found]
+
+
+def tables_of(page: _TreeBuilder) -> tuple[int, list[tuple]]:
+    """Number of table elements of a parsed page, and ``(index, context,
+    columns, rows)`` of those that hold rows."""
+    tables = [e for e in page.elements if e.tag == "table"]
     out = []
     for i, t in enumerate(tables):
         try:
@@ -226,8 +269,8 @@ def parse_tables(html: str):
         except (ValueError, IndexError, KeyError):
             continue
         if parsed is not None:
-            out.append((i, len(tables), _context(t, b.elements), *parsed))
-    return out
+            out.append((i, _context(t, page.elements), *parsed))
+    return len(tables), out
 
 
 def _parse_table(table) -> tuple[list[str], list[list[str]]] | None:
@@ -350,26 +393,28 @@ def table_markdown(columns: Column, rows: Column) -> Column:
     )
 
 
+def section_text(place, context, columns, rows) -> Column:
+    """The section of a page's table number ``place``, from 1."""
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("### Table "), place.cast("string"), F.lit(": "), context),
+        F.concat(F.lit("**Summary**: "), table_summary(columns, rows)),
+        F.lit(""),
+        F.lit("**Table Data Analysis:**"),
+        table_narrative(columns, rows),
+        F.lit(""),
+        F.lit("**Formatted Table:**"),
+        table_markdown(columns, rows),
+        F.lit(""),
+    )
+
+
 def table_sections(tables: DataFrame) -> DataFrame:
     """Per page: the joined ``### Table i`` sections of P13 (``page_id,
     tables_text``) and ``num_tables`` (parsed tables, P7)."""
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("table_index"))
-    sec = tables.withColumn("pos", pos).select(
-        "page_id",
-        "table_index",
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("### Table "), F.col("pos").cast("string"), F.lit(": "), F.col("context")),
-            F.concat(F.lit("**Summary**: "), table_summary(F.col("columns"), F.col("rows"))),
-            F.lit(""),
-            F.lit("**Table Data Analysis:**"),
-            table_narrative(F.col("columns"), F.col("rows")),
-            F.lit(""),
-            F.lit("**Formatted Table:**"),
-            table_markdown(F.col("columns"), F.col("rows")),
-            F.lit(""),
-        ).alias("section"),
-    )
+    section = section_text(F.col("pos"), F.col("context"), F.col("columns"), F.col("rows"))
+    sec = tables.withColumn("pos", pos).select("page_id", "table_index", section.alias("section"))
     # Bounded by the number of tables on one page.
     return sec.groupBy("page_id").agg(
         F.array_join(

@@ -70,12 +70,13 @@ def compose_document(scraped: DataFrame, table_sections: DataFrame | None = None
     content and (when present) the per-table sections, joined by newlines.
 
     ``table_sections`` holds ``page_id, tables_text`` (already joined
-    sections, see ``kbforge.operators.html_tables.table_sections``).
+    sections, see ``kbforge.operators.html_tables.table_sections``); pages of
+    ``scrape_parsed`` carry that column themselves.
     """
     df = scraped
     if table_sections is not None:
         df = df.join(table_sections, "page_id", "left")
-    else:
+    elif "tables_text" not in df.columns:
         df = df.withColumn("tables_text", F.lit(None).cast("string"))
     m = F.col("metadata")
     header = F.concat_ws(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbforge.functions.cleaning import clean_markdown, clean_structured
-from kbforge.functions.html import main_text, page_title
+from kbforge.functions.html import choose_title, main_text, page_title
 from kbforge.operators.html_tables import extract_tables, table_sections
 from kbforge.operators.ingest import compose_document, doc_key, host_catalog, scrape, split_failed
+from kbforge.operators.page_parse import parse_pages, scrape_parsed
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
 from kbforge.sources.writers import latest_by_key
@@ -185,3 +186,89 @@ def q_extracted_tables(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages")
     return table_records(extract_tables(pages), pages)
+
+
+# ---- pages parsed once -----------------------------------------------------------
+# The driver pages hold plain markup and no table.  These queries put each one
+# between markup that needs a parser: references by name and number, quoted
+# signs in attributes, nested dropped blocks, unclosed elements, a table with
+# left-out end tags and a span.
+WRAP_HEAD = (
+    '<head><meta name="description" content="It\'s 5 &gt; 3 &amp; caf&eacute;s &mdash; <b>open</b>">'
+    "<title>Guide &#8211; &euro;&nbsp;rates &#x26; caf&eacute;s</title></head>"
+    "<main><nav>menu <nav>inner</nav> rest of it</nav><p>R&eacute;sum&eacute; &hellip; 3 < 4 &frac12;<p>A <b>bold<i> and</b> open"
+)
+WRAP_TABLE = "<h2>Where it is</h2><table><caption>All&nbsp;sites</caption><tr><th>Page<th>Address<tr><td>"
+WRAP_TAIL = (
+    "<tr><td>0<td>&mdash;<tr><td colspan=2>7</table>"
+    "<header>old <header>head</header> gone</header>last &quot;words&quot;</main><footer>x</footer>"
+)
+
+
+def wrapped_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    address = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(
+        F.lit(WRAP_HEAD), F.col("html"), F.lit(WRAP_TABLE), F.col("page_id").cast("string"), F.lit("<td>"), address, F.lit(WRAP_TAIL)
+    )
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+_INNER_SQL = S.text_lines(S.drop_blocks("html"), S.NL)
+_PARSED_SQL = f"""WITH wp AS (SELECT page_id, url, {_INNER_SQL} AS inner_text, CAST(page_id AS VARCHAR) AS pid,
+  {S.strip('url')} AS address FROM pages),
+pp AS (SELECT *, 'Guide – €' || chr(160) || 'rates & cafés' AS title, 'It''s 5 > 3 & cafés — <b>open</b>' AS description,
+  'All' || chr(160) || 'sites' AS caption,
+  array_to_string(['Résumé … 3 < 4 ½', 'A', 'bold', 'and', 'open'], chr(10)) || chr(10)
+  || CASE WHEN inner_text = '' THEN '' ELSE inner_text || chr(10) END
+  || array_to_string(['Where it is', 'All' || chr(160) || 'sites', 'Page', 'Address', pid, address, '0', '—', '7', 'last "words"'], chr(10)) AS main_text
+  FROM wp)"""
+_SECTION_SQL = """'### Table 1: Section: Where it is | Caption: ' || caption || chr(10)
+  || '**Summary**: Table with 3 rows and 2 columns. Columns: Page, Address. Numeric data in: Page. Example row - Page: '
+  || pid || ', Address: ' || address || chr(10) || chr(10) || '**Table Data Analysis:**' || chr(10)
+  || 'Entry 1: Page is ' || pid || ', Address is ' || address || '. Entry 2: Page is 0, Address is —. Entry 3: Page is 7, Address is 7. '
+  || chr(10) || 'This table shows relationships between: Page, Address' || chr(10) || chr(10) || '**Formatted Table:**' || chr(10)
+  || '| Page | Address |' || chr(10) || '|---|---|' || chr(10) || '| ' || pid || ' | ' || address || ' |' || chr(10)
+  || '| 0 | — |' || chr(10) || '| 7 | 7 |' || chr(10)"""
+
+
+@register(
+    "parsed_pages",
+    _PARSED_SQL + "\nSELECT page_id, url, title, description, main_text, CAST(1 AS INTEGER) AS n_tables FROM pp",
+)
+def q_parsed_pages(spark, sf_dir):
+    """P2, P5, P6, P8 of wrapped pages, each parsed once."""
+    return parse_pages(wrapped_pages(spark, sf_dir)).select(
+        "page_id", "url", choose_title(F.col("title_text"), F.col("heading_text")).alias("title"), "description", "main_text", "n_tables"
+    )
+
+
+@register(
+    "parsed_tables",
+    _PARSED_SQL
+    + """
+SELECT page_id, t.row_no, 'Section: Where it is | Caption: ' || caption AS context, t.cells FROM (
+  SELECT page_id, caption, unnest([{'row_no': 0, 'cells': 'Page | Address'}, {'row_no': 1, 'cells': pid || ' | ' || address},
+         {'row_no': 2, 'cells': '0 | —'}, {'row_no': 3, 'cells': '7 | 7'}]) AS t FROM pp)""",
+)
+def q_parsed_tables(spark, sf_dir):
+    """The tables of wrapped pages, one row per line of a table (the
+    column names are line 0)."""
+    tables = parse_pages(wrapped_pages(spark, sf_dir)).select("page_id", F.explode("tables").alias("t"))
+    lines = F.transform(F.concat(F.array("t.columns"), F.col("t.rows")), lambda r: F.array_join(r, " | "))
+    return tables.select("page_id", F.col("t.context").alias("context"), F.posexplode(lines).alias("row_no", "cells"))
+
+
+@register(
+    "parsed_documents",
+    _PARSED_SQL
+    + f""",
+cl AS (SELECT *, {S.clean_structured('main_text')} AS main_content FROM pp)
+SELECT page_id, substring(md5(url), 1, 12) AS doc_id, url,
+       '# ' || title || chr(10) || 'Source: ' || url || chr(10) || 'Description: ' || description || chr(10)
+       || chr(10) || '## Main Content' || chr(10) || main_content || chr(10)
+       || chr(10) || '## Structured Data (Tables)' || chr(10) || chr(10) || {_SECTION_SQL} AS text FROM cl""",
+)
+def q_parsed_documents(spark, sf_dir):
+    """P2-P13 of wrapped pages in one pass, tables included, without a shuffle."""
+    return compose_document(scrape_parsed(wrapped_pages(spark, sf_dir)))

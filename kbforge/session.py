@@ -121,6 +121,18 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Most rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set these bounds on the session's Arrow batches; the default of 10,000
+    rows of any size would need gigabytes in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a text-heavy scan at least one partition per core.
 
