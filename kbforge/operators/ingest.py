@@ -65,13 +65,14 @@ def scrape(pages: DataFrame, table_counts: DataFrame | None = None) -> DataFrame
     return out.select("page_id", "url", "doc_id", "main_content", meta.alias("metadata"))
 
 
-def compose_document(scraped: DataFrame, table_sections: DataFrame | None = None) -> DataFrame:
+def compose_document(scraped: DataFrame, table_sections: DataFrame | None = None, carry=()) -> DataFrame:
     """One text per page: header, source, optional description, main
     content and (when present) the per-table sections, joined by newlines.
 
     ``table_sections`` holds ``page_id, tables_text`` (already joined
     sections, see ``kbforge.operators.html_tables.table_sections``); pages of
-    ``scrape_parsed`` carry that column themselves.
+    ``scrape_parsed`` carry that column themselves.  Columns named in ``carry``
+    stay beside the text.
     """
     df = scraped
     if table_sections is not None:
@@ -94,7 +95,7 @@ def compose_document(scraped: DataFrame, table_sections: DataFrame | None = None
         F.col("tables_text").isNotNull(),
         F.concat(F.lit("\n## Structured Data (Tables)\n\n"), F.col("tables_text")),
     ).otherwise(F.lit(""))
-    return df.select("page_id", "doc_id", "url", F.concat(header, body, tables).alias("text"))
+    return df.select("page_id", "doc_id", "url", F.concat(header, body, tables).alias("text"), *carry)
 
 
 def host_catalog(pages: DataFrame) -> DataFrame:

@@ -32,11 +32,13 @@ from kbforge.operators.graph import (
     mentions,
     relationships,
 )
+from kbforge.operators.ingest import compose_document
+from kbforge.operators.page_parse import scrape_parsed
 from kbforge.operators.postings import load_postings, write_postings
 from kbforge.operators.vector_index import load_vector_index, write_vector_index
 from kbforge.operators.vectors import unit_vectors
 from kbforge.session import ensure_checkpoint_dir, materialize, spread
-from kbforge.sources.writers import write_vectors
+from kbforge.sources.writers import latest_by_key, write_vectors
 from kbforge.sources.readers import KNOWLEDGE_SCHEMAS, read_table
 
 INDEX_TABLES = (
@@ -59,10 +61,10 @@ def _files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(p))
 
 
-def default_root(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the index of a data directory's documents as they are now:
-    changed input gets another folder, never a stale index."""
-    seen = _files(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+def default_root(spark: SparkSession, sf_dir: str, source: str = "documents") -> str:
+    """Folder of the index of a data directory's documents (or pages) as they
+    are now: changed input gets another folder, never a stale index."""
+    seen = _files(spark, f"{sf_dir.rstrip('/')}/{source}.parquet")
     key = hashlib.md5("\n".join([sf_dir.rstrip("/"), *seen]).encode()).hexdigest()[:12]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kbforge-index/{key}"
 
@@ -140,6 +142,27 @@ def postings_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return load_postings(spark, root)
 
 
+def page_index_for(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Pages made searchable: ``(postings, text_units, documents)``, built once
+    per checkpoint folder.  Each page is parsed once and composed into a
+    document; of pages with the same document id the latest stays.
+    ``documents`` has the id, address, title, category (the address's host) and
+    description of each, without its text."""
+    root = default_root(spark, sf_dir, "pages")
+    if not _exists(spark, f"{root}/_built"):
+        _unmark(spark, root)
+        scraped = scrape_parsed(spread(read_table(spark, sf_dir, "pages")))
+        composed = compose_document(scraped.withColumn("found", F.struct("metadata.title", "metadata.description")), carry=("found",))
+        composed.write.mode("overwrite").parquet(f"{root}/composed")
+        latest = latest_by_key(spark.read.parquet(f"{root}/composed"), "doc_id", "page_id")
+        host = F.parse_url(F.col("url"), F.lit("HOST"))
+        latest.select("doc_id", "page_id", "url", "found.*", host.alias("category")).write.mode("overwrite").parquet(f"{root}/documents")
+        chunk_documents(latest).write.mode("overwrite").parquet(f"{root}/text_units")
+        write_postings(spark.read.parquet(f"{root}/text_units"), f"{root}/postings")
+        _mark(spark, root)
+    return load_postings(spark, f"{root}/postings"), spark.read.parquet(f"{root}/text_units"), spark.read.parquet(f"{root}/documents")
+
+
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {}
     for name in INDEX_TABLES:
