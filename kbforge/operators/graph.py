@@ -11,19 +11,25 @@ equi-join or aggregate keyed by entity, unit or entity pair:
   the weight is the number of such units.  Pairs are formed inside the row of
   a unit.  A unit holds at most as many names as a chunk has tokens (1,200),
   so the work is linear in the units.
+* ``typed_mentions``: a dictionary's phrases are found by one automaton in one
+  pass over a unit's words, without exploding word runs.
 * ``descriptions``: the first distinct sentences of an entity, cut at 500
   characters; a partial top-k bounds what any entity can gather.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbforge.functions.evaluation import CAPITAL_TERM_PATTERN
 from kbforge.functions.text import TERM_PATTERN, WS_CLASS, extract_all, map_accents, strip_ws
 from kbforge.operators.common import top_k_per_group
-from kbforge.session import broadcast_if_small
+from kbforge.operators.word_automaton import WordAutomaton
+from kbforge.session import bounded_batches
 
 # Our parameters for rule-based noun phrases (the config only names the
 # "regex_english" extractor).  The operators keep every name unless a caller
@@ -182,15 +188,20 @@ def entity_table(ents: DataFrame, descs: DataFrame, rels: DataFrame, type_: str
     )
 
 
+#: Most bytes of a dictionary's phrases, types and names that are sent to tasks
+#: (an automaton takes about a hundred times as many).
+MAX_DICTIONARY_BYTES = 4 << 20
+
+
 def typed_mentions(
-    units: DataFrame, dictionary: DataFrame | None = None, max_broadcast_rows: int = 1_000_000
+    units: DataFrame, dictionary: DataFrame | None = None, max_dictionary_bytes: int = MAX_DICTIONARY_BYTES
 ) -> DataFrame:
     """Typed mentions ``unit_id, type, name``.
 
     Regex rules give FINANCIAL_AMOUNT and TIME_PERIOD.  Any other type comes
-    from ``dictionary`` ``(type, name)``: every unit's word n-grams (n up to
-    the longest dictionary entry) are equi-joined with the normalised
-    entries, so matching is a hash join, never a unit x entry product.
+    from ``dictionary`` ``(type, name)``, matched by the lower-cased words of
+    the name: one row per occurrence and dictionary row.  Names without a word
+    match nothing.
     """
     parts = []
     for typ, pattern in TYPE_RULES:
@@ -202,27 +213,57 @@ def typed_mentions(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if dictionary is None:
-        return out
-    norm = dictionary.select(
-        "type", "name", F.array_join(extract_all(F.lower("name"), TERM_PATTERN), " ").alias("g")
-    ).where(F.col("g") != "")
-    longest = norm.agg(F.max(F.size(F.split("g", " "))), F.max(~F.col("type").isin(*ENTITY_TYPES))).first()
-    if longest[1]:
+    return out if dictionary is None else out.unionByName(dictionary_mentions(units, dictionary, max_dictionary_bytes))
+
+
+def dictionary_mentions(units: DataFrame, dictionary: DataFrame, max_bytes: int = MAX_DICTIONARY_BYTES) -> DataFrame:
+    """Occurrences ``unit_id, type, name`` of a dictionary's names.
+
+    A dictionary of at most ``max_bytes`` becomes a word automaton that is sent
+    to the tasks; each reads a unit's words once.  A larger one is joined by
+    the word runs of the units, of the lengths that occur in it.
+    """
+    norm = dictionary.select("type", "name", extract_all(F.lower("name"), TERM_PATTERN).alias("g")).where(F.size("g") > 0)
+    size = F.sum(F.octet_length("type") + F.octet_length("name") + F.octet_length(F.array_join("g", " ")))
+    known = F.coalesce(F.col("type").isin(*ENTITY_TYPES), F.lit(False))
+    seen = norm.agg(size.alias("bytes"), F.max(~known).alias("other"), F.array_sort(F.collect_set(F.size("g"))).alias("lengths")).first()
+    if seen["other"]:
         raise ValueError(f"dictionary types must be among {ENTITY_TYPES}")
-    max_words = longest[0] or 0
-    if not max_words:
-        return out
     words = units.select("unit_id", extract_all(F.lower("text"), TERM_PATTERN).alias("_w"))
-    grams = []
-    for n in range(1, max_words + 1):
-        last = F.size("_w") - n + 1
-        idx = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
-        grams.append(F.transform(idx, _slice_join(n)))
-    g = words.select("unit_id", F.explode(F.concat(*grams)).alias("g"))
-    hits = g.join(broadcast_if_small(norm, max_broadcast_rows), "g").select("unit_id", "type", "name")
-    return out.unionByName(hits)
-
-
-def _slice_join(n: int):
-    return lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")
+    if (seen["bytes"] or 0) > max_bytes:
+        runs = F.concat(*[_word_runs(n) for n in seen["lengths"]])
+        g = words.select("unit_id", F.explode(runs).alias("g"))
+        return g.join(norm.withColumn("g", F.array_join("g", " ")), "g").select("unit_id", "type", "name")
+    entries = norm.collect()  # no more than max_bytes
+    sent = units.sparkSession.sparkContext.broadcast((WordAutomaton(e["g"] for e in entries), [(e["type"], e["name"]) for e in entries]))
+    bounded_batches(units.sparkSession)
+    kind = units.schema["unit_id"].dataType.simpleString()
+    return words.mapInArrow(_find_entries(sent), f"unit_id {kind}, type string, name string")
+
+
+def _find_entries(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, named = sent.value
+        for batch in batches:
+            rows, numbers = [], []
+            for i, words in enumerate(batch.column("_w").to_pylist()):
+                before = len(numbers)
+                numbers.extend(automaton.find(words or ()))
+                rows.extend([i] * (len(numbers) - before))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("unit_id").take(pa.array(rows, pa.int64())),
+                    pa.array([named[k][0] for k in numbers], pa.string()),
+                    pa.array([named[k][1] for k in numbers], pa.string()),
+                ],
+                names=["unit_id", "type", "name"],
+            )
+
+    return run
+
+
+def _word_runs(n: int):
+    """All runs of ``n`` words of ``_w``, joined by a space."""
+    last = F.size("_w") - n + 1
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+    return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
