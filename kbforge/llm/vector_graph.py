@@ -14,8 +14,12 @@
    in one shard only, the first that both classes are in.  A block pair returns
    counts, and links that join components; never all pairs.
 
-The graph is approximate: ``recall`` measures the links found against brute
-force for a set of queries.  A verified link is never wrong.
+The graph is approximate, so every run audits itself: the classes of the
+vectors whose id is divisible by ``AUDITED`` (by its hash, if ids are not
+integers) are compared with all classes by brute force, in blocks, and if less
+than ``MIN_RECALL`` of their links were found, overlap and beam are doubled and
+the search runs again; after ``WIDENINGS`` times it raises.  ``recall`` measures
+a result in the same way.  A verified link is never wrong.
 
 Defined results: a vector that is null, empty, zero or holds null or
 non-finite components links with nothing, as do vectors of different lengths
@@ -47,6 +51,10 @@ BLOCK, CANDIDATES, DEGREE, ALPHA = 2_000, 48, 16, 1.2
 #: range is still expanded.
 BEAM, SLACK = 16, 0.05
 
+#: One in so many vectors is audited; the least share of their links that must
+#: be found; how often overlap and beam are doubled to reach it.
+AUDITED, MIN_RECALL, WIDENINGS = 100, 0.9, 3
+
 KEY = "struct<a:long,b:long>"
 
 
@@ -166,7 +174,7 @@ def range_search(units: np.ndarray, adjacency: np.ndarray, queries: np.ndarray,
             yield q, nodes
 
 
-def _shards(centroids):
+def _shards(centroids, overlap: int = OVERLAP):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
@@ -179,7 +187,7 @@ def _shards(centroids):
                 rows = np.flatnonzero((by_length == length).to_numpy())
                 if length in table:
                     sims = _unit(pdf.v.iloc[rows]) @ table[length].T
-                    near = np.argsort(-sims, axis=1, kind="stable")[:, :OVERLAP]
+                    near = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
                 else:
                     near = np.zeros((len(rows), 1), int)
                 for r, x in zip(rows, near, strict=True):
@@ -210,7 +218,7 @@ def _adjacency(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _search(threshold: float):
+def _search(threshold: float, beam: int = BEAM):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard, one, two = int(pdf.shard.iloc[0]), int(pdf.one.iloc[0]), int(pdf.two.iloc[0])
         pdf = pdf.reset_index(drop=True)
@@ -232,7 +240,7 @@ def _search(threshold: float):
                 continue
             back = np.full(n + 1, -1)
             back[t] = np.arange(len(t))
-            for x, y in range_search(units[t], back[adjacency[t]], units[q], back[q], threshold):
+            for x, y in range_search(units[t], back[adjacency[t]], units[q], back[q], threshold, beam):
                 linked[q[x], t[y]] = True
         linked |= linked.T
         np.fill_diagonal(linked, False)
@@ -276,27 +284,11 @@ def usable(vector: str):
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(c, lambda x: x != 0)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of every row."""
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = F.coalesce(usable("v"), F.lit(False))
-    rows = rows.withColumn("key", F.when(good, F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit("second"), "v").alias("b"))))
-    classes = stored(
-        rows.where("key is not null").groupBy("key").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("vec_id"))
-    )
-    n = classes.count()
-    # Centroids: a sample by hash order, at most SAMPLE rows.
-    share = min(1.0, SAMPLE / max(n, 1) * 0.9)
-    sample = classes.where(F.pmod("key.b", F.lit(1_000_000)) < int(share * 1_000_000)).select("key", "v").limit(SAMPLE).toPandas()
-    tables = {}
-    for length, part in sample.groupby(sample.v.map(len)) if len(sample) else ():
-        k = min(MAX_CENTROIDS, -(-n // PER_CENTROID), len(part))
-        part = part.assign(o=[(x["a"], x["b"]) for x in part.key]).sort_values("o")
-        tables[int(length)] = fit_centroids(_unit(part.v), k)
-    sent = spark.sparkContext.broadcast(tables)
+def _search_links(classes: DataFrame, sent, threshold: float, overlap: int, beam: int) -> DataFrame:
+    """Links of the classes by the graph: ``(a, b, n, a2, b2)``, rows with
+    ``n`` count a class's links, the others join two classes."""
     flat = classes.select("key.a", "key.b", "m", "v")
-    indexed = flat.mapInPandas(_shards(sent), "a long, b long, m long, v array<double>, shards array<long>")
+    indexed = flat.mapInPandas(_shards(sent, overlap), "a long, b long, m long, v array<double>, shards array<long>")
     spread = indexed.select("*", F.explode("shards").alias("shard"))
     blocks = spread.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = stored(spread.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))))
@@ -313,9 +305,83 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         .withColumn("one", F.least("block", "other"))
         .withColumn("two", F.greatest("block", "other"))
         .groupBy("shard", "one", "two")
-        .applyInPandas(_search(threshold), "a long, b long, n long, a2 long, b2 long")
+        .applyInPandas(_search(threshold, beam), "a long, b long, n long, a2 long, b2 long")
     )
-    searched = stored(searched)
+    return stored(searched)
+
+
+def _brute_links(classes: DataFrame, asked: DataFrame, threshold: float, block: int = 2_000) -> DataFrame | None:
+    """``(a, b, n)``: links of the ``asked`` classes by comparison with all
+    ``classes(a, b, m, v)``, each weighted by its rows.  The asked ones are
+    sent to the tasks in blocks of about ``block``."""
+    spark = classes.sparkSession
+    parts = -(-asked.count() // block)
+    out = None
+    for k in range(parts):
+        pdf = asked.where(F.pmod(F.col("b"), F.lit(parts)) == k).toPandas()
+        if not len(pdf):
+            continue
+        by_length = {n: (own.a.to_numpy(), own.b.to_numpy(), _unit(own.v)) for n, own in pdf.groupby(pdf.v.map(len))}
+        sent = spark.sparkContext.broadcast(by_length)
+
+        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for length, own in pdf.groupby(pdf.v.map(len)):
+                    if length in sent.value:
+                        a, b, units = sent.value[length]
+                        same = (a[:, None] == own.a.to_numpy()) & (b[:, None] == own.b.to_numpy())
+                        hit = (units @ _unit(own.v).T >= threshold) & ~same
+                        n = hit @ own.m.to_numpy()
+                        yield pd.DataFrame({"a": a[n > 0], "b": b[n > 0], "n": n[n > 0]})
+
+        part = classes.mapInPandas(count, "a long, b long, n long")
+        out = part if out is None else out.unionByName(part)
+    return None if out is None else out.groupBy("a", "b").agg(F.sum("n").alias("true"))
+
+
+def audit(classes: DataFrame, searched: DataFrame, threshold: float = THRESHOLD) -> float:
+    """The share of the audited classes' links that ``searched`` holds; 1 if
+    they have none."""
+    flat = classes.select("key.a", "key.b", "m", "v", "audited")
+    true = _brute_links(flat.drop("audited"), flat.where("audited").drop("audited"), threshold)
+    if true is None:
+        return 1.0
+    found = searched.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = true.join(found, ["a", "b"], "left").agg(F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("n"), F.sum("true").alias("true")).first()
+    return both["n"] / both["true"] if both["true"] else 1.0
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every row."""
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    good = F.coalesce(usable("v"), F.lit(False))
+    rows = rows.withColumn("key", F.when(good, F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit("second"), "v").alias("b"))))
+    whole = rows.schema["vec_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col("vec_id") if whole else F.xxhash64("vec_id")
+    audited = F.coalesce(F.max(F.pmod(number, F.lit(AUDITED)) == 0), F.lit(False))
+    classes = stored(
+        rows.where("key is not null")
+        .groupBy("key")
+        .agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("vec_id"), audited.alias("audited"))
+    )
+    n = classes.count()
+    # Centroids: a sample by hash order, at most SAMPLE rows.
+    share = min(1.0, SAMPLE / max(n, 1) * 0.9)
+    sample = classes.where(F.pmod("key.b", F.lit(1_000_000)) < int(share * 1_000_000)).select("key", "v").limit(SAMPLE).toPandas()
+    tables = {}
+    for length, part in sample.groupby(sample.v.map(len)) if len(sample) else ():
+        k = min(MAX_CENTROIDS, -(-n // PER_CENTROID), len(part))
+        part = part.assign(o=[(x["a"], x["b"]) for x in part.key]).sort_values("o")
+        tables[int(length)] = fit_centroids(_unit(part.v), k)
+    sent = spark.sparkContext.broadcast(tables)
+    for wide in range(WIDENINGS + 1):
+        searched = _search_links(classes, sent, threshold, OVERLAP << wide, BEAM << wide)
+        found = audit(classes, searched, threshold)
+        if found >= MIN_RECALL:
+            break
+    else:
+        raise RuntimeError(f"recall of links is {found:.3f} after {WIDENINGS} widenings, below {MIN_RECALL}")
     counts = searched.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     links = searched.where("n = 0").select(F.struct("a", "b").alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v"))
     roots = components(links)

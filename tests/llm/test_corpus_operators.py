@@ -286,6 +286,37 @@ def test_vectors(spark):
     one = vector_graph.recall(df, vector_graph.near_duplicates(df), every=10).first()
     assert one["recall"] >= 0.9 and one["true"] > 0
     assert vector_graph.near_duplicates(df.limit(0)).count() == 0
+    named = df.selectExpr("concat('v', vec_id) AS name", "embedding AS e")
+    assert sum(r["n_links"] for r in vector_graph.near_duplicates(named, "name", "e").collect()) >= 0.95 * near.sum()
+
+
+def test_audit_widens_the_search_and_raises(spark, monkeypatch):
+    rows, df = _vectors(spark)
+    df = df.where("vec_id < 3000")
+    monkeypatch.setattr(vector_graph, "AUDITED", 1)
+    whole = sum(r["n_links"] for r in vector_graph.near_duplicates(df).collect())
+    search, tried, shares = vector_graph._search_links, [], []
+    audit = vector_graph.audit
+
+    def lossy(classes, sent, threshold, overlap, beam):
+        """Loses all counts until the search is wide enough."""
+        tried.append((overlap, beam))
+        out = search(classes, sent, threshold, overlap, beam)
+        return out if beam >= 2 * vector_graph.BEAM else out.where("n = 0")
+
+    def kept(*args):
+        shares.append(audit(*args))
+        return shares[-1]
+
+    monkeypatch.setattr(vector_graph, "_search_links", lossy)
+    monkeypatch.setattr(vector_graph, "audit", kept)
+    assert sum(r["n_links"] for r in vector_graph.near_duplicates(df).collect()) == whole
+    o, b = vector_graph.OVERLAP, vector_graph.BEAM
+    assert tried == [(o, b), (2 * o, 2 * b)]
+    assert shares[0] == 0 and 0.9 <= shares[1] <= 1
+    monkeypatch.setattr(vector_graph, "WIDENINGS", 0)
+    with pytest.raises(RuntimeError, match="recall"):
+        vector_graph.near_duplicates(df)
 
 
 # ---- 10: mixing ---------------------------------------------------------------
