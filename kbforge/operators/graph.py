@@ -13,7 +13,7 @@ equi-join or aggregate keyed by entity, unit or entity pair:
   so the work is linear in the units.
 * ``typed_mentions``: a dictionary's phrases are found by one automaton in one
   pass over a unit's words, without exploding word runs.
-* ``descriptions``: the first distinct sentences of an entity, cut at 500
+* ``entity_descriptions``: the first distinct sentences of an entity, cut at 500
   characters; a partial top-k bounds what any entity can gather.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbforge.functions.evaluation import CAPITAL_TERM_PATTERN
@@ -83,6 +83,12 @@ def sentences(units: DataFrame) -> DataFrame:
     )
 
 
+def _names_in(sentence) -> Column:
+    """The capitalised runs of a sentence, white space inside them as one space."""
+    found = extract_all(map_accents(sentence), CAPITAL_TERM_PATTERN)
+    return F.transform(found, lambda n: F.regexp_replace(n, WS_CLASS + "+", " "))
+
+
 def mentions(units: DataFrame) -> DataFrame:
     """Capitalised-run mentions: ``unit_id, ord, sent_no, name``.
 
@@ -94,10 +100,7 @@ def mentions(units: DataFrame) -> DataFrame:
     sents = units.select("unit_id", extract_all("text", SENTENCE_PATTERN).alias("_s"))
     per_sentence = F.transform(
         "_s",
-        lambda s, i: F.transform(
-            extract_all(map_accents(s), CAPITAL_TERM_PATTERN),
-            lambda n: F.struct(i.alias("sent_no"), F.regexp_replace(n, WS_CLASS + "+", " ").alias("name")),
-        ),
+        lambda s, i: F.transform(_names_in(s), lambda n: F.struct(i.alias("sent_no"), n.alias("name"))),
     )
     return sents.select("unit_id", F.posexplode(F.flatten(per_sentence)).alias("ord", "m")).select(
         "unit_id", "ord", "m.sent_no", "m.name"
@@ -157,8 +160,28 @@ def descriptions(adm: DataFrame, units: DataFrame, max_chars: int = DESCRIPTION_
     before the gather, whatever the number of mentions.
     """
     located = adm.select("name", "unit_id", "sent_no").distinct()
-    s = located.join(sentences(units), ["unit_id", "sent_no"]).select("name", "sentence")
-    s = s.where(F.col("sentence") != "").distinct()
+    return _first_sentences(located.join(sentences(units), ["unit_id", "sent_no"]), max_chars)
+
+
+def entity_descriptions(ents: DataFrame, units: DataFrame, max_chars: int = DESCRIPTION_CHARS) -> DataFrame:
+    """G5 for every mention of the entities ``ents(name)``: what ``descriptions``
+    gives for ``admitted_mentions(mentions(units), ents)``.
+
+    The sentences are picked inside the row of their unit, each once a name,
+    and go straight to their entity: no other sentence and no unit is shuffled.
+    """
+    per_sentence = F.transform(
+        "_s",
+        lambda s: F.transform(F.array_distinct(_names_in(s)), lambda n: F.struct(n.alias("name"), strip_ws(s).alias("sentence"))),
+    )
+    found = units.select(extract_all("text", SENTENCE_PATTERN).alias("_s")).select(F.flatten(per_sentence).alias("_m"))
+    said = found.select(F.explode(F.array_distinct("_m")).alias("m")).select("m.name", "m.sentence")
+    return _first_sentences(said.join(ents.select("name"), "name", "left_semi"), max_chars)
+
+
+def _first_sentences(said: DataFrame, max_chars: int) -> DataFrame:
+    """``name, description`` from ``said(name, sentence)``."""
+    s = said.select("name", "sentence").where(F.col("sentence") != "").distinct()
     first = top_k_per_group(s, ["name"], [F.asc("sentence")], max_chars, rank_col="_r")
     gathered = first.groupBy("name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "sentence"))), lambda x: x["sentence"]).alias("_s")

@@ -26,7 +26,7 @@ from kbforge.operators.graph import (
     admitted_mentions,
     copies_of,
     dedupe_units,
-    descriptions,
+    entity_descriptions,
     entity_stats,
     entity_table,
     mentions,
@@ -103,7 +103,7 @@ def build_index(spark: SparkSession, docs: DataFrame, root: str, keep_postings:
     )
     rels = spark.read.parquet(f"{root}/relationships")
 
-    entity_table(ents, descriptions(adm, deduped), rels).write.mode("overwrite").parquet(f"{root}/entities")
+    entity_table(ents, entity_descriptions(ents, deduped), rels).write.mode("overwrite").parquet(f"{root}/entities")
     entities = spark.read.parquet(f"{root}/entities")
 
     hierarchical_communities(entities, rels).write.mode("overwrite").partitionBy("level").parquet(

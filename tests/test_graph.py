@@ -147,3 +147,22 @@ def test_hierarchy_invariants_on_driver_data(spark):
     reps = QUERIES["community_reports"](spark, SMOKE_DIR).collect()
     assert {(r["level"], r["community"]) for r in reps} == {(r["level"], r["community"]) for r in com}
     assert all(len(r["report"]) <= 2000 and r["size"] >= 1 for r in reps)
+
+
+def test_descriptions_picked_in_the_row_equal_the_join(spark):
+    import random
+
+    from kbforge.operators.graph import admitted_mentions, descriptions, entity_descriptions, entity_stats, mentions
+
+    rng = random.Random(8)
+    words = ["Ann", "Bo  Lee", "Cork", "and", "x", "Élan", "U.S.", "!", "Ann", "\n", "Old Town"]
+    texts = [None, "", " . ! ", *(" ".join(rng.choices(words, k=rng.randint(1, 60))) + rng.choice([".", ""]) for _ in range(30))]
+    units = spark.createDataFrame([(str(i), t, "x") for i, t in enumerate([*texts, texts[4]])], "unit_id string, text string, name string")
+    ments = mentions(units)
+    ents = entity_stats(ments, min_chars=4)
+    for most in (500, 12):
+        want = descriptions(admitted_mentions(ments, ents), units, most)
+        got = entity_descriptions(ents, units, most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() >= 3
+    assert entity_descriptions(ents, units.limit(0)).count() == entity_descriptions(ents.limit(0), units).count() == 0
