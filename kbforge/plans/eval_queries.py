@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbforge.functions.evaluation import capital_term_set, cosine, factual_accuracy, keyword_set, number_set
+from kbforge.operators.answers import evidence_responses
 from kbforge.operators.common import rounded
 from kbforge.operators.evaluation import (
     bleu_scores,
@@ -15,6 +16,7 @@ from kbforge.operators.evaluation import (
     shared_shingle_pairs,
     top_bottom,
 )
+from kbforge.operators.retrieval import SEARCH_TYPES, route
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
 from kbforge.plans.search_queries import lexical, units_of
@@ -250,3 +252,58 @@ SELECT '{RUN_TIMESTAMP}' AS timestamp, count(DISTINCT id) AS total_cases,
 )
 def q_eval_report(spark, sf_dir):
     return run_report(scored_results(spark, sf_dir), RUN_TIMESTAMP)
+
+
+# ---- the same run with every search type ------------------------------------
+
+
+def evidence_texts(ix):
+    """The text behind every kind of evidence of an index."""
+    reports = ix["community_reports"].select(
+        F.lit("report").alias("kind"), F.concat_ws("#", F.col("level").cast("string"), "community").alias("item_id"), F.col("report").alias("text")
+    )
+    rels = ix["relationships"].select(
+        F.lit("relationship").alias("kind"), F.concat_ws(" -- ", "src", "dst").alias("item_id"), F.col("description").alias("text")
+    )
+    entities = ix["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("item_id"), F.col("description").alias("text"))
+    units = ix["text_units"].select(F.lit("unit").alias("kind"), F.col("unit_id").alias("item_id"), "text")
+    return units.unionByName(reports).unionByName(entities).unionByName(rels)
+
+
+def scored_by_type(spark, sf_dir, types=SEARCH_TYPES):
+    """Every benchmark case under every search type, answered by that search
+    and scored."""
+    from kbforge.plans.index_build import index_for
+    from kbforge.plans.search_queries import _basic, _global, _local
+
+    ix = index_for(spark, sf_dir)
+    cases = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"),
+        F.col("item_id").alias("case_order"),
+        F.col("text").alias("question"),
+        F.col("text").alias("ground_truth"),
+    )
+    runs = case_type_product(cases, types).withColumn("result_id", F.concat_ws("/", "id", "search_type"))
+    asked = runs.select(
+        F.col("result_id").alias("request_id"), F.col("question").alias("query"), "search_type", F.lit(None).cast("string").alias("error")
+    )
+    evidence = materialize(route(asked, {"global": _global(ix), "local": _local(ix), "basic": _basic(spark, sf_dir)}))
+    found = evidence_responses(evidence, evidence_texts(ix)).withColumnRenamed("query_id", "result_id")
+    results = runs.join(found, "result_id", "left").withColumn("response", F.coalesce("response", F.lit("")))
+    return score_results(materialize(results))
+
+
+@register("eval_results_types")
+def q_eval_results_types(spark, sf_dir):
+    """The case records of all three search types; the response is the
+    text of the three best rows of evidence."""
+    return scored_by_type(spark, sf_dir).select(
+        "id", "question", "ground_truth", "response", "search_type",
+        "metrics.factual_accuracy", "metrics.relevance", "metrics.bleu_score",
+    )
+
+
+@register("eval_report_types")
+def q_eval_report_types(spark, sf_dir):
+    """E11 of the run over all three search types."""
+    return run_report(scored_by_type(spark, sf_dir), RUN_TIMESTAMP)
