@@ -155,6 +155,37 @@ def test_moves_raise_modularity(spark):
     assert plain_q(after, edges) > plain_q(label, edges) and abs(plain_q(after, edges) - plain_q(label, edges) - gains) < 1e-12
 
 
+def hub_graph():
+    """Leaves that point at one hub and join it a few in a round."""
+    edges = [("hub", f"n{i:02d}", 40 - i) for i in range(20)]
+    return [n for _, n, _ in edges] + ["hub"], edges + [(f"n{i:02d}", f"n{j:02d}", 1) for i in range(20) for j in range(i + 1, 20, 7)]
+
+
+@pytest.mark.parametrize("graph", [random_graph(4, 60, 5), hub_graph()])
+def test_rounds_ended_in_one_task_are_the_distributed_ones(spark, monkeypatch, graph):
+    assign, e = frames(spark, *graph)
+    inside = materialize(modularity.inner_edges(assign, e))
+    totals = materialize(modularity.totals_of(inside))
+    calls, one_round = [], modularity.merge_round
+    monkeypatch.setattr(modularity, "merge_round", lambda *a: calls.append(1) or one_round(*a))
+
+    def merged(**how):
+        start = materialize(assign.select("node", "cluster", F.col("node").alias("label")))
+        return {r["node"]: r["label"] for r in modularity.merge_all(start, inside, totals, **how).collect()}
+
+    far = merged(finish_edges=0)
+    assert len(calls) > 1
+    calls.clear()
+    assert merged() == far and not calls  # no job a round once the graph is small
+
+
+def test_weights_beyond_int64_products():
+    nodes, edges = random_graph(3, 30, 3)
+    big = [(a, b, w * 10**10) for a, b, w in edges]
+    plain = modularity._merge_rounds({n: n for n in nodes}, edges)
+    assert modularity._merge_rounds({n: n for n in nodes}, big) == plain
+
+
 def test_no_edges_and_no_nodes(spark):
     assign, edges = frames(spark, ["a", "b"], [])
     assert {tuple(r) for r in modularity.modularity_clusters(assign, edges).collect()} == {("a", "c", "a"), ("b", "c", "b")}
