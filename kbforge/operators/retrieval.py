@@ -154,6 +154,8 @@ def lexical_topk(
 
 # Terms of a phrase that the join looks for.
 PHRASE_KEY_TERMS = 8
+# Units that hold a key, with the phrases to compare, that we broadcast.
+MAX_BROADCAST_PHRASES = 50_000
 
 
 def phrase_search(
@@ -170,31 +172,32 @@ def phrase_search(
 
     The first terms of a question (eight, or all of a shorter one) are an
     equi-join key with the units' runs of that length; units are cut into runs
-    only of lengths that occur among the questions.  The whole phrase is then
-    compared.
+    only of lengths that occur among the questions.  Runs meet the questions
+    without the text of their unit; the whole phrase is then compared in the
+    units that hold a key.
     """
-
-    def run(terms, length):
-        return F.array_join(F.slice(terms, 1, length), " ")
+    from kbforge.session import materialize
 
     q = queries.select(F.col(query_id).alias("query_id"), extract_all(F.lower(query_text), TERM_PATTERN).alias("_q"))
     q = q.where(F.size("_q") > 0).withColumn("_n", F.least(F.size("_q"), F.lit(PHRASE_KEY_TERMS)))
-    q = q.select("query_id", "_n", run("_q", F.col("_n")).alias("_key"), F.array_join("_q", " ").alias("_phrase"))
+    # Terms hold no space, so equal keys have the same length.
+    q = q.select("query_id", "_n", F.array_join(F.slice("_q", 1, F.col("_n")), " ").alias("_key"), F.array_join("_q", " ").alias("_phrase"))
     lengths = sorted(r["_n"] for r in q.select("_n").distinct().collect())  # eight at most
     u = units.select(F.col(unit_id).alias("unit_id"), extract_all(F.lower(unit_text), TERM_PATTERN).alias("_u"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_u"), F.lit(1)))
 
     def runs_of(n: int):
         fits = F.filter(starts, lambda i: i + n - 1 <= F.size("_u"))
-        return F.transform(
-            fits, lambda i: F.struct(F.lit(n).alias("_n"), F.array_join(F.slice(F.col("_u"), i, n), " ").alias("_key"))
-        )
-
-    runs = [runs_of(n) for n in lengths] or [F.array().cast("array<struct<_n:int,_key:string>>")]
-    u = u.select("unit_id", F.array_join("_u", " ").alias("_text"), F.explode(F.array_distinct(F.concat(*runs))).alias("_r"))
-    hits = u.join(broadcast_if_small(q, MAX_BROADCAST_TERMS), (F.col("_r._n") == F.col("_n")) & (F.col("_r._key") == F.col("_key")))
+        return F.transform(fits, lambda i: F.array_join(F.slice("_u", i, n), " "))
+
+    # Distinct strings are found by hashing, distinct structs pair by pair.
+    runs = F.array_distinct(F.concat(*[runs_of(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    keyed = u.select("unit_id", F.explode(runs).alias("_key"))
+    hits = materialize(keyed.join(broadcast_if_small(q.drop("_n"), MAX_BROADCAST_TERMS), "_key").select("query_id", "unit_id", "_phrase"))
+    held = broadcast_if_small(hits, MAX_BROADCAST_PHRASES)
+    texts = u.select("unit_id", F.array_join("_u", " ").alias("_text")).join(held, "unit_id")
     whole = F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_phrase", F.lit(" ")))
-    return hits.where(whole).select("query_id", "unit_id")
+    return texts.where(whole).select("query_id", "unit_id")
 
 
 def _lexical_full(

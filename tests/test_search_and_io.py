@@ -223,3 +223,17 @@ def test_phrase_search(spark):
     qs = [(1, "help to buy"), (2, "one two three four five six seven eight nine"), (3, "one two three four five six seven eight ten"), (4, "?"), (5, "nine")]
     got = phrase_search(spark.createDataFrame(qs, "query_id long, query string"), units).collect()
     assert sorted(map(tuple, got)) == [(1, "u1"), (2, "u1"), (5, "u1")]
+
+
+def test_phrase_search_long_unit_takes_linear_time(spark):
+    import time
+
+    from kbforge.operators.retrieval import phrase_search
+
+    words = " ".join(f"w{i}" for i in range(60_000))
+    units = spark.createDataFrame([("u1", words), ("u2", words.replace("w59999", "last"))], "unit_id string, text string")
+    qs = [(1, " ".join(f"w{i}" for i in range(59_980, 60_000))), (2, "w7 w8 w9"), (3, "W59998 last!"), (4, "w3 w5")]
+    began = time.time()
+    got = phrase_search(spark.createDataFrame(qs, "query_id long, query string"), units).collect()
+    assert sorted(map(tuple, got)) == [(1, "u1"), (2, "u1"), (2, "u2"), (3, "u2")]
+    assert time.time() - began < 60  # distinct runs found pair by pair take minutes
