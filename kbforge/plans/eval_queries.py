@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbforge.functions.evaluation import capital_term_set, cosine, factual_accuracy, keyword_set, number_set
 from kbforge.operators.answers import evidence_responses
+from kbforge.operators.chunking import chunk_documents
 from kbforge.operators.common import rounded
 from kbforge.operators.evaluation import (
     bleu_scores,
@@ -16,11 +17,12 @@ from kbforge.operators.evaluation import (
     shared_shingle_pairs,
     top_bottom,
 )
+from kbforge.operators.postings import MAX_BROADCAST_PAIRS
 from kbforge.operators.retrieval import SEARCH_TYPES, route
 from kbforge.plans import sqlparts as S
 from kbforge.plans.registry import register, table
-from kbforge.plans.search_queries import lexical, units_of
-from kbforge.session import materialize
+from kbforge.plans.search_queries import lexical
+from kbforge.session import broadcast_if_small, materialize
 
 RUN_TIMESTAMP = "2024-01-01T00:00:00"
 
@@ -170,11 +172,13 @@ def scored_results(spark, sf_dir, types=("basic",)):
         F.col("text").alias("ground_truth"),
     )
     runs = case_type_product(cases, types)
-    units = units_of(spark, sf_dir)
     questions = runs.select(
         F.concat_ws("/", "id", "search_type").alias("query_id"), F.col("question").alias("query")
     )
-    best = lexical(questions, spark, sf_dir, k=1).join(units.select("unit_id", F.col("text").alias("response")), "unit_id")
+    best = broadcast_if_small(materialize(lexical(questions, spark, sf_dir, k=1, carry=("doc_id",)).select("query_id", "unit_id", "doc_id")), MAX_BROADCAST_PAIRS)
+    # Only documents of the best units are cut again; no text is shuffled.
+    docs = table(spark, sf_dir, "documents").join(best.select("doc_id"), "doc_id", "left_semi")
+    best = chunk_documents(docs).select("unit_id", F.col("text").alias("response")).join(best.drop("doc_id"), "unit_id")
     results = runs.withColumn("result_id", F.concat_ws("/", "id", "search_type")).join(
         best.select(F.col("query_id").alias("result_id"), "response"), "result_id", "left"
     ).withColumn("response", F.coalesce("response", F.lit("")))

@@ -18,6 +18,7 @@ from kbforge.operators.evaluation import (
     term_cosine,
     top_bottom,
 )
+from tests.conftest import SMOKE_DIR
 
 
 def test_term_sets(spark):
@@ -125,3 +126,14 @@ def test_case_product_means_top_bottom_report(spark):
     rep = run_report(scored, "2024-01-01T00:00:00").collect()[0]
     assert rep["total_cases"] == 3 and rep["search_types"] == "basic,global"
     assert all(r["question_shown"].endswith("...") for r in tb)
+
+
+def test_answers_cut_only_the_documents_of_the_best_units(spark, monkeypatch):
+    from kbforge.plans import eval_queries
+
+    seen = []
+    real = eval_queries.chunk_documents
+    monkeypatch.setattr(eval_queries, "chunk_documents", lambda docs: seen.append(docs) or real(docs))
+    scored = eval_queries.scored_results(spark, SMOKE_DIR)
+    cases = spark.read.parquet(f"{SMOKE_DIR}/benchmark.parquet").count()
+    assert scored.count() == cases and 0 < seen[0].count() <= cases
