@@ -237,3 +237,12 @@ def test_phrase_search_long_unit_takes_linear_time(spark):
     got = phrase_search(spark.createDataFrame(qs, "query_id long, query string"), units).collect()
     assert sorted(map(tuple, got)) == [(1, "u1"), (2, "u1"), (2, "u2"), (3, "u2")]
     assert time.time() - began < 60  # distinct runs found pair by pair take minutes
+
+
+def test_terms_are_counted_in_the_row_of_their_text(spark):
+    from kbforge.operators.vectors import term_counts
+
+    docs = spark.createDataFrame([("a", "One two, ONE"), ("b", ""), ("c", None), ("d", "two")], "unit_id string, text string")
+    tf = term_counts(docs)
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, tf.collect())) == [("a", "one", 2), ("a", "two", 1), ("d", "two", 1)]
