@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kbforge.functions.text import col_of, strip_ws
+from kbforge.functions.text import col_of, once, strip_ws
 
 # Structured-page clean rules, applied in this order, then strip.
 STRUCTURED_RULES = (
@@ -56,7 +56,7 @@ def _apply(c, rules) -> Column:
 
 def clean_structured(c) -> Column:
     """Clean text of a structured page (NULL/empty stays empty)."""
-    return F.when(F.coalesce(col_of(c), F.lit("")) == "", F.lit("")).otherwise(_apply(c, STRUCTURED_RULES))
+    return once(c, lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(_apply(t, STRUCTURED_RULES)))
 
 
 def clean_markdown(c) -> Column:

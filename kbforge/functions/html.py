@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kbforge.functions.text import col_of, strip_ws
+from kbforge.functions.text import col_of, once, strip_ws
 
 # The blocks the main-text extraction drops, the region tags in
 # priority order, the entity table (``&amp;`` last so "&amp;lt;" stays "&lt;"),
@@ -52,12 +52,15 @@ def drop_blocks(html) -> Column:
 def region(html) -> Column:
     """Content of the first ``main``, else ``article``, else ``body`` element
     (an unclosed one runs to the end), else the whole page."""
-    h = col_of(html)
-    out = h
-    for tag in reversed(REGION_TAGS):
-        inner = F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|$)", 1)
-        out = F.when(h.rlike(rf"(?i)<{tag}\b"), inner).otherwise(out)
-    return out
+
+    def chosen(h):
+        out = h
+        for tag in reversed(REGION_TAGS):
+            inner = F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|$)", 1)
+            out = F.when(h.rlike(rf"(?i)<{tag}\b"), inner).otherwise(out)
+        return out
+
+    return once(html, chosen)
 
 
 # A tag, in which ``>`` may stand inside quotes; one whose quotes don't close
@@ -97,16 +100,18 @@ def page_title(html) -> Column:
 
 def choose_title(title: Column, heading: Column) -> Column:
     """P5 over the texts of the title and the first heading."""
-    cands = F.array(title, heading)
     terms = F.array(*[F.lit(t) for t in UNWANTED_TITLE_TERMS])
 
     def acceptable(t):
         clean = ~F.exists(terms, lambda u: F.contains(F.lower(t), u))
         return t.isNotNull() & (F.length(t) > 0) & (clean | (F.length(t) > TITLE_LONG_ENOUGH))
 
-    good = F.filter(cands, acceptable)
-    non_empty = F.filter(cands, lambda t: t.isNotNull() & (F.length(strip_ws(t)) > 0))
-    return F.coalesce(F.get(good, 0), F.get(non_empty, 0), F.lit(NO_TITLE))
+    def first(cands):
+        good = F.filter(cands, acceptable)
+        non_empty = F.filter(cands, lambda t: t.isNotNull() & (F.length(strip_ws(t)) > 0))
+        return F.coalesce(F.get(good, 0), F.get(non_empty, 0), F.lit(NO_TITLE))
+
+    return once(F.array(title, heading), first)
 
 
 def meta_description(html) -> Column:

@@ -29,6 +29,12 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c, fn) -> Column:
+    """``fn`` of a column that is computed once, however often ``fn`` uses it
+    (an expression used twice is otherwise computed twice, nested ones more)."""
+    return F.get(F.transform(F.array(col_of(c)), fn), F.lit(0))
+
+
 # White space as Python's ``str.strip`` and ``\s`` have it (Java's and RE2's
 # ``\s`` are ASCII only): for trimming, and as a regex class for both.
 WS_CODES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
