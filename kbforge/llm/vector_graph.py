@@ -50,6 +50,9 @@ BLOCK, CANDIDATES, DEGREE, ALPHA = 2_000, 48, 16, 1.2
 #: Beam of the greedy search, and slack under the threshold inside which the
 #: range is still expanded.
 BEAM, SLACK = 16, 0.05
+#: Queries that a task searches for at a time, and numbers of vectors that it
+#: compares at a time (32 MB of each side).
+QUERIES_AT_ONCE, NUMBERS_AT_ONCE = 256, 1 << 22
 
 #: One in so many vectors is audited; the least share of their links that must
 #: be found; how often overlap and beam are doubled to reach it.
@@ -105,12 +108,29 @@ def robust_prune(sims: np.ndarray, degree: int = DEGREE, candidates: int = CANDI
     return out
 
 
-def range_search(units: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def range_search(units: np.ndarray, adjacency: tuple[np.ndarray, np.ndarray], queries: np.ndarray, own: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(queries, nodes)`` index arrays of verified links, from a greedy
-    search for all queries at a time that starts at the medoid and, if the
-    query is a node itself (``own``, else -1), there."""
-    n, m = len(units), len(queries)
+    search for some queries at a time that starts at the medoid and, if the
+    query is a node itself (``own``, else -1), there.  ``adjacency`` is where
+    each node's list starts (and the last one ends) and the lists."""
     medoid = int((units @ units.mean(axis=0)).argmax())
+    for first in range(0, len(queries), QUERIES_AT_ONCE):
+        part = slice(first, first + QUERIES_AT_ONCE)
+        for q, nodes in _range_search(units, adjacency, queries[part], own[part], medoid, threshold, beam, slack):
+            yield q + first, nodes
+
+
+def _lists(adjacency: tuple[np.ndarray, np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes' lists one after the other, and the place of the node of each."""
+    starts, flat = adjacency
+    count = starts[nodes + 1] - starts[nodes]
+    at = np.arange(count.sum()) + np.repeat(starts[nodes] - (np.cumsum(count) - count), count)
+    return np.repeat(np.arange(len(nodes)), count), flat[at]
+
+
+def _range_search(units, adjacency, queries, own, medoid: int, threshold: float, beam: int, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n, m = len(units), len(queries)
+    at_once = max(1, NUMBERS_AT_ONCE // units.shape[1])
     seen = np.zeros((m, n), bool)
     seen[:, medoid] = True
     ids = np.full((m, beam), -1)
@@ -126,21 +146,26 @@ def range_search(units: np.ndarray, adjacency: np.ndarray, queries: np.ndarray,
 
     def visit(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The unseen neighbours of (query, node) pairs, with similarities."""
-        near = adjacency[nodes]
-        who = np.repeat(q, near.shape[1])
-        near = near.ravel()
-        new = near >= 0
-        who, near = who[new], near[new]
-        new = ~seen[who, near]
-        flat = np.unique(who[new] * n + near[new])
-        who, near = flat // n, flat % n
-        seen[who, near] = True
-        s = np.einsum("ij,ij->i", queries[who], units[near])
-        hit = s >= threshold
-        found.append((who[hit], near[hit]))
-        close = s >= threshold - slack
-        frontier.append((who[close], near[close]))
-        return who, near, s
+        out = []
+        # as many pairs at a time as have ``at_once`` neighbours (one at least)
+        ends = np.cumsum(adjacency[0][nodes + 1] - adjacency[0][nodes])
+        at = 0
+        while at < len(q):
+            till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
+            row, near = _lists(adjacency, nodes[at:till])
+            who = q[at:till][row]
+            at = till
+            new = ~seen[who, near]
+            flat = np.unique(who[new] * n + near[new])
+            who, near = flat // n, flat % n
+            seen[who, near] = True
+            s = np.concatenate([np.einsum("ij,ij->i", queries[who[i : i + at_once]], units[near[i : i + at_once]]) for i in range(0, max(1, len(who)), at_once)])
+            hit = s >= threshold
+            found.append((who[hit], near[hit]))
+            close = s >= threshold - slack
+            frontier.append((who[close], near[close]))
+            out.append((who, near, s))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     while True:
         open_sims = np.where(done, -np.inf, sims)
@@ -152,6 +177,8 @@ def range_search(units: np.ndarray, adjacency: np.ndarray, queries: np.ndarray,
         who, near, s = visit(q, ids[q, best[q]])
         if len(who):
             # Merge the new nodes into the beams.
+            order = np.argsort(who, kind="stable")
+            who, near, s = who[order], near[order], s[order]
             count = np.bincount(who, minlength=m)
             place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)[: len(who)]
             wide = int(count.max())
@@ -166,6 +193,7 @@ def range_search(units: np.ndarray, adjacency: np.ndarray, queries: np.ndarray,
     at = 0
     while at < len(frontier):
         q, nodes = frontier[at]
+        frontier[at] = None
         at += 1
         if len(q):
             visit(q, nodes)
@@ -208,13 +236,42 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a[one], "b": b[one], "na": a[two], "nb": b[two]})
 
 
-def _adjacency(pdf: pd.DataFrame) -> np.ndarray:
-    """United adjacency lists as places in this table, padded by -1."""
+def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """United adjacency lists as places in this table: where each one starts,
+    and all of them one after the other."""
     place = {k: i for i, k in enumerate(zip(pdf.a.tolist(), pdf.b.tolist(), strict=True))}
-    lists = [[p for x in (near if near is not None else ()) if (p := place.get((x["a"], x["b"]))) is not None] for near in pdf.near]
-    out = np.full((len(lists), max([1, *map(len, lists)])), -1)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+    starts, flat = [0], []
+    for na, nb in zip(pdf.na, pdf.nb, strict=True):
+        if na is not None:
+            flat += [p for x in zip(na.tolist(), nb.tolist(), strict=True) if (p := place.get(x)) is not None]
+        starts.append(len(flat))
+    return np.array(starts), np.array(flat, np.int64)
+
+
+def _among(adjacency: tuple[np.ndarray, np.ndarray], nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The adjacency lists between some of the nodes, as places among them."""
+    back = np.full(len(adjacency[0]) - 1, -1)
+    back[nodes] = np.arange(len(nodes))
+    row, near = _lists(adjacency, nodes)
+    near = back[near]
+    row, near = row[near >= 0], near[near >= 0]
+    return np.append(0, np.cumsum(np.bincount(row, minlength=len(nodes)))), near
+
+
+def _tree(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join each component of a symmetric matrix."""
+    new, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not new[start]:
+            continue
+        new[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & new)
+            new[found] = False
+            out += [(i, j) for j in found.tolist()]
+            todo += found.tolist()
     return out
 
 
@@ -238,29 +295,19 @@ def _search(threshold: float, beam: int = BEAM):
             q, t = np.flatnonzero(asks), np.flatnonzero(answers)
             if not len(q) or not len(t):
                 continue
-            back = np.full(n + 1, -1)
+            back = np.full(n, -1)
             back[t] = np.arange(len(t))
-            for x, y in range_search(units[t], back[adjacency[t]], units[q], back[q], threshold, beam):
+            for x, y in range_search(units[t], _among(adjacency, t), units[q], back[q], threshold, beam):
                 linked[q[x], t[y]] = True
         linked |= linked.T
         np.fill_diagonal(linked, False)
-        x, y = np.nonzero(linked)
-        first = ~(member[x] & member[y]).any(axis=1)
-        counted = np.bincount(x[first], weights=m[y[first]], minlength=n).astype(np.int64)
-        # Links that join: each node to the smallest place it reaches.
-        up = list(range(n))
-
-        def find(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        joins = []
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            if i < j and (p := find(i)) != (r := find(j)):
-                up[r] = p
-                joins.append((i, j))
+        # Links of some rows at a time: all of a dense block would take gigabytes.
+        counted, earlier, weight = np.zeros(n, np.int64), member.astype(np.float32), m.astype(np.float64)
+        for i in range(0, n, QUERIES_AT_ONCE):
+            part = slice(i, i + QUERIES_AT_ONCE)
+            first = linked[part] & (earlier[part] @ earlier.T == 0)
+            counted[part] = first.astype(np.float64) @ weight
+        joins = _tree(linked)
         a, b = pdf.a.to_numpy(), pdf.b.to_numpy()
         some = np.flatnonzero(counted)
         i, j = np.array(joins, int).reshape(-1, 2).T
@@ -296,7 +343,9 @@ def _search_links(classes: DataFrame, sent, threshold: float, overlap: int, beam
         placed.groupBy("shard", "block")
         .applyInPandas(_build, "a long, b long, na long, nb long")
         .groupBy("a", "b")
-        .agg(F.collect_set(F.struct(F.col("na").alias("a"), F.col("nb").alias("b"))).alias("near"))
+        .agg(F.collect_set(F.struct("na", "nb")).alias("near"))
+        # arrays of numbers: structs would be a dictionary each in Python
+        .select("a", "b", "near.na", "near.nb")
     )
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     searched = (
